@@ -117,11 +117,14 @@ class Words:
         return np.flatnonzero(whole), chain([self.hash[j : j + k] for j in range(n)])[whole]
 
 
+_PLACE = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def chain(parts: list[np.ndarray]) -> np.ndarray:
-    """Hash of a sequence of hashes, position by position."""
+    """Hash of a sequence of hashes, position by position; each place has a multiplier of its own."""
     total = np.zeros(len(parts[0]), np.uint64)
-    for j, x in enumerate(parts):
-        total += x * np.uint64((0xD6E8FEB86659FD93 + 0x9FB21C651E98DF25 * 2 * j) % (1 << 64) | 1)
+    for x, place in zip(parts, _PLACE, strict=False):
+        total += x * place
     return mix(total)
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motorcade.llm import packing, pii, quality, tokens, toxicity
+from motorcade.llm import neardup, packing, pii, quality, tokens, toxicity
 from motorcade.llm.common import id_crc, table
 
 
@@ -30,9 +30,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_crc("doc_id") % 3 == 1).alias("held_out"), "score", (F.col("score") >= toxicity.REJECT_AT).cast("int").alias("predicted"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_divergence, op4_token_counts, op5_toxicity, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_divergence, op4_token_counts, op5_toxicity, op7_near_duplicates, op9_packing)}
 ORACLE: dict[str, str] = {}
