@@ -50,6 +50,8 @@ STEMS = (4, 5, 6, 7, 8)
 MAX_ARCS = 600
 MOST_WORDS = 3
 RIDGE = 0.3
+#: Counts that a task holds before it sends them on.
+HELD = 100_000
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = re.compile(r"[.!?;\n]")
@@ -166,9 +168,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Grammar()
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("f", pa.string()), ("p", pa.string()), ("n", pa.int64())])
+        pairs: Counter = Counter()
         for b in batches:
-            pairs = Counter((f, p) for t in b.column(0).to_pylist() for f, p in _stems(t).items())
-            yield pa.RecordBatch.from_pydict({"f": [f for f, _ in pairs], "p": [p for _, p in pairs], "n": list(pairs.values())}, pa.schema([("f", pa.string()), ("p", pa.string()), ("n", pa.int64())]))
+            for t in b.column(0).to_pylist():
+                pairs.update(_stems(t).items())
+                if len(pairs) >= HELD:
+                    yield pa.RecordBatch.from_pydict({"f": [f for f, _ in pairs], "p": [p for _, p in pairs], "n": list(pairs.values())}, schema)
+                    pairs.clear()
+        yield pa.RecordBatch.from_pydict({"f": [f for f, _ in pairs], "p": [p for _, p in pairs], "n": list(pairs.values())}, schema)
 
     least = max(3, bad // 100)
     found = rows.where("y = 1").select("text").mapInArrow(contexts, "f string, p string, n long")
