@@ -54,9 +54,8 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     docs = len(off) - 1
     w = K.Words(data, off, True)
     n = np.maximum(w.count, 1)
-    shape = np.bitwise_or.reduceat(_FLAG[data], w.start) if len(w.start) else np.zeros(0, np.uint8)
-    if len(w.start):  # reduceat runs to the next start; only spaces lie between, which have no flag
-        shape = shape.astype(np.int64)
+    # reduceat runs to the next start; only spaces lie between, which have no flag
+    shape = np.bitwise_or.reduceat(_FLAG[data], w.start).astype(np.int64) if len(w.start) else np.zeros(0, np.int64)
     keys = np.unique(K.chain([w.hash, w.doc.astype(np.uint64)]), return_index=True)[1] if len(w.hash) else np.zeros(0, np.int64)
     different = np.bincount(w.doc[keys], minlength=docs)
     share = np.minimum(7, (8 * different / n).astype(np.int64))

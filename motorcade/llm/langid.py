@@ -71,12 +71,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     some = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id")
     got = some.mapInArrow(bits, f"id {dict(docs.dtypes)[id_col]}, lang string, bits binary").toArrow()
     dropped(picked)
+    if not got.num_rows:
+        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
     order = np.argsort(np.array([str(i) for i in got["id"].to_pylist()]), kind="stable")[:most]
     langs = np.array(got["lang"].to_pylist(), object)[order]
     packed = np.frombuffer(b"".join(got["bits"].take(pa.array(order)).to_pylist()), np.uint8).reshape(len(order), -1)
     names = sorted(set(langs))
-    if not names:
-        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
     each = max(1, LANDMARKS // len(names))
     marks = np.concatenate([np.flatnonzero(langs == x)[:each] for x in names])
     land = np.unpackbits(packed[marks], axis=1).astype(np.float32)

@@ -13,8 +13,8 @@ A bucket's rows are spread over tasks by joins that Spark can split, and labels
 With 40 bands of 6 a pair at a similarity of 0.8 shares no band with probability 6e-6; MISS adds at most 1e-6.
 
 Edge cases: a text with fewer words than WIDTH is one shingle; null, empty or blank texts have no shingle and stand
-alone; repeated rows and equal sets are one class; only the id (unique, long) and text columns are read; an empty table gives an
-empty result. Texts are handled in slices of whole documents of about 1 MB.
+alone; equal sets are one class; rows that repeat an id and its text get the same result; a row without an id is in no
+component and kept; only the id and text columns are read; an empty table gives an empty result. Texts are handled in slices of whole documents of about 1 MB.
 """
 
 from __future__ import annotations
@@ -204,7 +204,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, miss: floa
     """Per row: id, n_shingles, component_id (smallest id reachable over links) and kept (id = component_id)."""
     sigs = written(signatures(df, width, id_col, text_col), "signatures")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    classes = sigs.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
+    classes = sigs.where("n > 0 and id is not null").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     classes = written(classes, "classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep"), F.col("n"))
     shared = written(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "buckets")
@@ -219,10 +219,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, miss: floa
     else:
         rep = rep.withColumn("component", F.lit(None).cast("long"))
     out = sigs.select("id", "n", "fp1", "fp2").join(rep, ["fp1", "fp2", "n"], "left")
-    component = F.coalesce("component", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     dropped(shared, members)
     kind = dict(df.dtypes)[id_col]
-    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
 def _linked(members: DataFrame, shared: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
