@@ -5,12 +5,14 @@ stood for by its smallest id. Classes that share a band of their MinHash signatu
 compared batch by batch; a pair goes as soon as the posterior probability that it reaches the threshold falls under
 MISS. Survivors are verified on the full sets of their texts, and links joined to components.
 
-Candidates are never all pairs of a bucket: each bucket compares its members with one pivot. As long as a bucket holds
-members of different components that weren't compared, it goes on with more pivots, or, once few members are left,
-with the pairs that are still apart. So no link between components is lost, and a bucket of n alike members costs n.
-A bucket's rows are spread over tasks by joins that Spark can split, and labels spread by star contraction in tables.
+Candidates are never all pairs of a bucket: each bucket compares its members with one pivot, the member that shares
+most buckets with others (an original rather than one of its copies). As long as a bucket holds members of different
+components that weren't compared, it goes on with more pivots, or, once few members are left, with the pairs that are
+still apart. So no link between components is lost, and a bucket of n alike members costs n. A bucket's rows are
+spread over tasks by joins that Spark can split, and labels spread by star contraction in tables.
 
-With 40 bands of 6 a pair at a similarity of 0.8 shares no band with probability 6e-6; MISS adds at most 1e-6.
+With 60 bands of 8 a pair at a similarity of 0.8 shares no band with probability 2e-5, one at 0.85 with 5e-9; MISS
+adds at most 1e-6.
 
 Edge cases: a text with fewer words than WIDTH is one shingle; null, empty or blank texts have no shingle and stand
 alone; equal sets are one class; rows that repeat an id and its text get the same result; a row without an id is in no
@@ -31,12 +33,12 @@ from pyspark.sql import functions as F
 from motorcade.llm import kernels as K
 from motorcade.llm.common import dropped, written
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 60, 8
 STEP = 40
 MISS = 1e-6
 #: A bucket with at most so many uncompared members compares those that are still apart; larger ones take pivots.
 SMALL = 32
-PIVOTS = 8
+PIVOTS = 4
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -83,7 +85,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), fp1 and fp2 (128 bits of the set), sig (16 bits of each MinHash), bands."""
+    """id, n (set size), fp1 and fp2 (128 bits of the set), sig (8 bits of each MinHash), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,7 +95,7 @@ def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 sig, bands = [b""] * len(sets), [[]] * len(sets)
                 if some:
                     s = minhash([sets[i] for i in some])
-                    for i, row, key in zip(some, s.astype(np.uint16), band_keys(s), strict=True):
+                    for i, row, key in zip(some, s.astype(np.uint8), band_keys(s), strict=True):
                         sig[i], bands[i] = row.tobytes(), key
                 fp1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 fp2 = np.array([np.bitwise_xor.reduce(K.mix(s + np.uint64(77))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
@@ -124,11 +126,11 @@ def least_matches(threshold: float, miss: float) -> list[int]:
 def likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """Pairs (a, b) that sequential comparison of their signatures doesn't rule out."""
     least = least_matches(threshold, miss)
-    width = 2 * BANDS * ROWS
+    width = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, width // 2) for c in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, width) for c in (2, 3))
             alive, same = np.arange(b.num_rows), np.zeros(b.num_rows, np.int64)
             for k, m in enumerate(least):
                 part = slice(k * STEP, (k + 1) * STEP)
@@ -187,7 +189,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if not mark["n"] or (mark["n"], mark["h"]) == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            out._motorcade_path = edges._motorcade_path
+            return out
         before = (mark["n"], mark["h"])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -206,13 +210,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, miss: floa
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     classes = sigs.where("n > 0 and id is not null").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"))
     classes = written(classes, "classes")
-    buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep"), F.col("n"))
-    shared = written(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "buckets")
-    members = written(buckets.join(shared.select("bucket"), "bucket", "left_semi"), "members")
-    if members.isEmpty():
-        labels = None
-    else:
-        labels = _linked(members, shared, sigs, docs, width, percent, miss)
+    buckets = classes.select(F.explode("bands").alias("bucket"), F.col("rep"))
+    shared = written(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = written(buckets.join(shared, "bucket"), "members")
+    labels = None if members.isEmpty() else _linked(members, classes, sigs, docs, width, percent, miss)
     rep = classes.select("fp1", "fp2", "n", "rep")
     if labels is not None:
         rep = rep.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
@@ -225,53 +226,65 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, miss: floa
     return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
-def _linked(members: DataFrame, shared: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
-    """Component labels of class representatives."""
+def _linked(members: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int, miss: float) -> DataFrame | None:
+    """Component labels of class representatives that share a bucket (members: bucket, rep, size)."""
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of other sizes can't reach it
-    links = labels = None
+    # how many rows of other members each representative meets over all its buckets
+    met = members.groupBy("rep").agg(F.sum("size").alias("met")).join(classes.select("rep", "n"), "rep")
+    met = written(met, "met")
+    sigs = written(sigs.select("id", "sig").join(met.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "met-signatures")
+    docs = written(docs.join(met.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "met-texts")
+    members = written(members.select("bucket", "rep").join(met, "rep"), "met-members")
+    labels: DataFrame | None = None
 
     def take(pairs: DataFrame) -> None:
-        """Verify candidates: first each member's smallest partner, then those that are still in other components."""
-        nonlocal links, labels
+        """Verify candidates: first each member's partner of smallest id, then those that are still in other components."""
+        nonlocal labels
         left = written(likely(pairs.distinct(), sigs, percent / 100, miss), "likely")
         for least in (True, False):
             part = left.groupBy("b").agg(F.min("a").alias("a")) if least else _apart(left, labels)
             new = written(verified(part, docs, width, percent), "links")
             if not new.isEmpty():
-                links = new if links is None else links.unionByName(new)
-                labels = components(links)
+                stars = labels.select(F.col("id").alias("a"), F.col("component").alias("b")) if labels is not None else None
+                old, labels = labels, components(new if stars is None else new.unionByName(stars))
+                if old is not None:
+                    dropped(old)
+            dropped(new)
         dropped(left)
 
-    pivots = shared.select("bucket", F.col("pivot").alias("p"))
-    first = members.join(pivots, "bucket").where("rep != p")
-    sizes = members.select(F.col("rep").alias("p"), F.col("n").alias("pn")).distinct()
-    take(first.select(F.col("p"), F.col("rep").alias("b"), "n").distinct().join(sizes, "p").where(near(F.col("n"), F.col("pn"))).select(F.col("p").alias("a"), "b"))
-    gone, salt, many = pivots, 0, PIVOTS
+    best = F.struct("met", (-F.col("rep")).alias("neg"), F.col("n"))
+    pivots = members.groupBy("bucket").agg(F.max(best).alias("p")).select("bucket", (-F.col("p.neg")).alias("p"), F.col("p.n").alias("pn"))
+    pivots = written(pivots, "pivots")
+    first = members.join(pivots, "bucket").where((F.col("rep") != F.col("p")) & near(F.col("n"), F.col("pn")))
+    take(first.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")))
+    gone, salt, many = pivots.select("bucket", "p"), 0, PIVOTS
     while True:
         rest = members.join(gone.withColumnRenamed("p", "rep"), ["bucket", "rep"], "left_anti")
         rest = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")) if labels is not None else rest.withColumn("c", F.col("rep"))
-        rest = rest.select("bucket", "rep", "n", "c")
-        open_ = rest.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("bucket", "size")
+        rest = written(rest.select("bucket", "rep", "n", "met", "c"), "uncompared")
+        open_ = rest.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("left")).where("lo != hi").select("bucket", "left")
         open_ = written(open_, "open")
         if open_.isEmpty():
-            dropped(open_)
+            dropped(open_, rest)
             return labels
-        rest = written(rest.join(open_, "bucket"), "rest")
-        x = rest.where(F.col("size") <= SMALL).select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        y = rest.where(F.col("size") <= SMALL).select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        new = written(rest.join(open_, "bucket"), "rest")
+        dropped(open_, rest)
+        rest = new
+        small = rest.where(F.col("left") <= SMALL)
+        x = small.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        y = small.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
         pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b")
         salt += 1
-        large = rest.where(F.col("size") > SMALL)
-        h = F.xxhash64(F.lit(salt), "rep")
-        chosen = large.groupBy("bucket", F.pmod(h, F.lit(many)).alias("slot")).agg(F.min(F.struct(h.alias("h"), F.col("rep"), F.col("n"), F.col("c"))).alias("p"))
+        large = rest.where(F.col("left") > SMALL)
+        slot = F.pmod(F.xxhash64(F.lit(salt), "rep"), F.lit(many))
+        chosen = large.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("met", "rep", "n", "c")).alias("p"))
         chosen = written(chosen.select("bucket", F.col("p.rep").alias("p"), F.col("p.n").alias("pn"), F.col("p.c").alias("pc")), "pivots")
         many *= 4
         more = large.join(chosen, "bucket").where((F.col("rep") != F.col("p")) & (F.col("c") != F.col("pc")) & near(F.col("n"), F.col("pn")))
-        pairs = pairs.unionByName(more.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")))
-        take(pairs)
-        done = rest.where(F.col("size") <= SMALL).select("bucket", F.col("rep").alias("p"))
+        take(pairs.unionByName(more.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))))
+        done = small.select("bucket", F.col("rep").alias("p"))
         gone = written(gone.unionByName(done).unionByName(chosen.select("bucket", "p")), "compared")
-        dropped(open_, rest, chosen)
+        dropped(rest, chosen)
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:

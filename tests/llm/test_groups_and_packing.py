@@ -86,7 +86,7 @@ def test_near_duplicates_of_odd_rows(spark, odd):
 
 def test_posterior_bounds():
     least = neardup.least_matches(0.8, 1e-6)
-    assert least == sorted(least) and 0 < least[0] < 32 and least[-1] < 0.8 * 240
+    assert least == sorted(least) and 0 < least[0] < 32 and least[-1] < 0.8 * neardup.BANDS * neardup.ROWS
 
 
 def test_components_of_a_path(spark):
