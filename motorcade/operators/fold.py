@@ -1,0 +1,44 @@
+"""Sequential folds by key over sorted partitions.
+
+Rules that depend on what an earlier row decided (state machines, cooldowns, hysteresis) aren't windows. Rows are
+dealt by key, sorted within partitions, and streamed through a step function with one state per key: one shuffle, and
+memory for one state however long a key's history is. Streaming queries call the same step functions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+
+Step = Callable[[Any, dict], tuple[Any, list[tuple]]]
+
+
+def fold(df: DataFrame, key: str, order: list[str | Column], step: Step, schema: str, finish: Callable[[Any, Any], list[tuple]] | None = None) -> DataFrame:
+    """Rows that `step` (state or None, row) -> (state, output rows) yields over each key's rows in order, and what
+    `finish` (key, state) yields at the key's end. Rows with a null key are left out. Output columns as in schema."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, out = None, None, []
+        for pdf in batches:
+            cols = list(pdf.columns)
+            for values in zip(*[pdf[c].astype(object).where(pdf[c].notna(), None) if pdf[c].dtype != object else pdf[c] for c in cols], strict=True):
+                row = dict(zip(cols, values, strict=True))
+                if row[key] != last:
+                    if finish and last is not None:
+                        out += finish(last, state)
+                    last, state = row[key], None
+                state, made = step(state, row)
+                out += made
+            if len(out) > 5000:
+                yield pd.DataFrame(out, columns=names, dtype=object)
+                out = []
+        if finish and last is not None:
+            out += finish(last, state)
+        if out:
+            yield pd.DataFrame(out, columns=names, dtype=object)
+
+    return df.where(df[key].isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
