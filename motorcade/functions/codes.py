@@ -38,8 +38,8 @@ def vin_wellformed(vin: Column) -> Column:
 def vin_check_digit(vin: Column) -> Column:
     """Check digit of a 17-character VIN: the weighted sum modulo 11, X for 10."""
     digits = F.translate(vin_clean(vin), VIN_LETTERS, VIN_NUMBERS)
-    total = sum((F.substr(digits, F.lit(i + 1), F.lit(1)).try_cast("int") * w for i, w in enumerate(VIN_WEIGHTS)), F.lit(0))
-    return F.when(total % 11 == 10, "X").otherwise((total % 11).cast("string"))
+    total = sum((F.substr(digits, F.lit(i + 1), F.lit(1)).try_cast("int") * w for i, w in enumerate(VIN_WEIGHTS) if w), F.lit(0))
+    return F.substr(F.lit("0123456789X"), total % 11 + 1, F.lit(1))
 
 
 def vin_valid(vin: Column, strict: bool = True) -> Column:

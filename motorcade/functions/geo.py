@@ -30,44 +30,69 @@ def geohash(lat: Column, lon: Column, precision: int) -> Column:
     total = 5 * precision
     lon_bits, lat_bits = (total + 1) // 2, total // 2
     x, y = _cells(lon, -180.0, 360.0, lon_bits), _cells(lat, -90.0, 180.0, lat_bits)
-    letters = []
+    return _letters(x, y, precision)
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def _letters(x: Column, y: Column, precision: int) -> Column:
+    """Geohash of a grid cell."""
+    lon_bits, lat_bits = (5 * precision + 1) // 2, 5 * precision // 2
+    out = []
     for c in range(precision):
-        index = F.lit(0).cast("bigint")
+        index = F.lit(1).cast("bigint")
         for b in range(5 * c, 5 * c + 5):
             cell, left = (x, lon_bits - 1 - b // 2) if b % 2 == 0 else (y, lat_bits - 1 - b // 2)
-            index = index * 2 + F.shiftright(cell, left).bitwiseAND(F.lit(1).cast("bigint"))
-        letters.append(F.substr(F.lit(BASE32), (index + 1).cast("int"), F.lit(1)))
-    return F.concat(*letters)
+            index = index + F.shiftright(cell, left).bitwiseAND(F.lit(1).cast("bigint")) * (16 >> (b - 5 * c))
+        out.append(F.substr(F.lit(BASE32), index.cast("int"), F.lit(1)))
+    return F.concat(*out)
+
+
+def _grid_cell(code: Column) -> Column:
+    """Struct of the column x and row y that a geohash names."""
+    start = F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(0).alias("i"))
+
+    def step(acc: Column, letter: Column) -> Column:
+        def add(d: Column) -> Column:
+            bit = lambda n: F.shiftright(d, n).bitwiseAND(F.lit(1).cast("bigint"))
+            three, two = bit(4) * 4 + bit(2) * 2 + bit(0), bit(3) * 2 + bit(1)
+            even = acc["i"] % 2 == 0
+            return F.struct(
+                F.when(even, acc["x"] * 8 + three).otherwise(acc["x"] * 4 + two).alias("x"),
+                F.when(even, acc["y"] * 4 + two).otherwise(acc["y"] * 8 + three).alias("y"),
+                (acc["i"] + 1).alias("i"),
+            )
+
+        return let((F.instr(F.lit(BASE32), letter) - 1).cast("bigint"), add)
+
+    return F.aggregate(F.split(code, ""), start, step)
 
 
 def geohash_decode(code: Column) -> Column:
     """Struct of centre and half errors: lat, lon, lat_err, lon_err."""
-    start = F.struct(F.lit(-90.0).alias("a"), F.lit(90.0).alias("b"), F.lit(-180.0).alias("c"), F.lit(180.0).alias("d"), F.lit(True).alias("lon"))
 
-    def step(acc: Column, i: Column) -> Column:
-        letter = F.substr(code, (F.floor(i / 5) + 1).cast("int"), F.lit(1))
-        digit = F.instr(F.lit(BASE32), letter) - 1
-        bit = F.floor(digit / F.pow(F.lit(2.0), 4 - i % 5)) % 2
-        lat_mid, lon_mid = (acc["a"] + acc["b"]) / 2, (acc["c"] + acc["d"]) / 2
-        return F.struct(
-            F.when(~acc["lon"] & (bit == 1), lat_mid).otherwise(acc["a"]).alias("a"),
-            F.when(~acc["lon"] & (bit == 0), lat_mid).otherwise(acc["b"]).alias("b"),
-            F.when(acc["lon"] & (bit == 1), lon_mid).otherwise(acc["c"]).alias("c"),
-            F.when(acc["lon"] & (bit == 0), lon_mid).otherwise(acc["d"]).alias("d"),
-            (~acc["lon"]).alias("lon"),
-        )
+    def box(c: Column) -> Column:
+        bits = F.length(code) * 5
+        w, h = F.lit(360.0) / F.pow(F.lit(2.0), F.ceil(bits / 2)), F.lit(180.0) / F.pow(F.lit(2.0), F.floor(bits / 2))
+        return F.struct(((c["y"] + 0.5) * h - 90.0).alias("lat"), ((c["x"] + 0.5) * w - 180.0).alias("lon"), (h / 2).alias("lat_err"), (w / 2).alias("lon_err"))
 
-    def out(acc: Column) -> Column:
-        return F.struct(((acc["a"] + acc["b"]) / 2).alias("lat"), ((acc["c"] + acc["d"]) / 2).alias("lon"), ((acc["b"] - acc["a"]) / 2).alias("lat_err"), ((acc["d"] - acc["c"]) / 2).alias("lon_err"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.length(code) * 5 - 1), start, step, out)
+    return let(_grid_cell(code), box)
 
 
 def geohash_neighbours(code: Column, precision: int) -> Column:
-    """The 8 cells around one, from its centre moved by its own size (no wrap at poles or the date line), sorted."""
-    box = geohash_decode(code)
-    near = [geohash(box["lat"] + dy * 2 * box["lat_err"], box["lon"] + dx * 2 * box["lon_err"], precision) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
-    return F.array_sort(F.array(*near))
+    """The 8 cells around one of this precision, sorted; cells beyond a pole or the date line stay at the edge."""
+    right, top = (1 << (5 * precision + 1) // 2) - 1, (1 << 5 * precision // 2) - 1
+    moves = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy])
+
+    def near(c: Column) -> Column:
+        inside = lambda v, top: F.greatest(F.lit(0), F.least(F.lit(top), v)).cast("bigint")
+        moved = F.transform(moves, lambda m: F.struct(inside(c["x"] + m["dx"], right).alias("x"), inside(c["y"] + m["dy"], top).alias("y")))
+        return F.array_sort(F.transform(moved, lambda m: _letters(m["x"], m["y"], precision)))
+
+    return let(_grid_cell(code), near)
 
 
 def cover_bbox(south: Column, west: Column, north: Column, east: Column, precision: int) -> Column:
@@ -76,8 +101,7 @@ def cover_bbox(south: Column, west: Column, north: Column, east: Column, precisi
     lon_bits, lat_bits = (total + 1) // 2, total // 2
     rows = F.sequence(_cells(south, -90.0, 180.0, lat_bits), _cells(north, -90.0, 180.0, lat_bits))
     cols = F.sequence(_cells(west, -180.0, 360.0, lon_bits), _cells(east, -180.0, 360.0, lon_bits))
-    h, w = 180.0 / (1 << lat_bits), 360.0 / (1 << lon_bits)
-    return F.flatten(F.transform(rows, lambda y: F.transform(cols, lambda x: geohash((y + 0.5) * h - 90.0, (x + 0.5) * w - 180.0, precision))))
+    return F.flatten(F.transform(rows, lambda y: F.transform(cols, lambda x: _letters(x, y, precision))))
 
 
 def zoom_precision(zoom: Column) -> Column:

@@ -160,7 +160,7 @@ def _value(name: str, rule: dict, text: Column) -> Column:
     if kind == "split_list":
         import re
 
-        parts = F.transform(F.split(text, re.escape(rule["separator"])), F.trim)
+        parts = F.transform(F.split(text, re.escape(rule["separator"])), lambda x: F.trim(x))
         return F.filter(parts, lambda x: x != "")
     if kind == "array_index":
         return typed(scaled(F.get(F.from_json(text, "array<double>"), F.lit(int(rule["index"])))))

@@ -86,7 +86,7 @@ def shadow_differences(df: DataFrame, active: dict, shadow: dict) -> DataFrame:
     a, _ = compiled(active, F.col("raw"))
     b, _ = compiled(shadow, F.col("raw"))
     diff = [F.count_if(~F.col("a")[n].eqNullSafe(F.col("b")[n])).alias(n) for n in TYPES]
-    got = df.select(a.alias("a"), b.alias("b")).agg(*diff)
+    got = df.select(F.array(a, b).alias("x")).select(F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b")).agg(*diff)
     return got.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("differences")) for n in TYPES])).alias("x")).select("x.*")
 
 

@@ -1,10 +1,8 @@
-"""Registered queries of the vehicle operators, and DuckDB SQL for the same rows."""
+"""All registered queries of the vehicle operators, and DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from motorcade.plans import relational, scalars  # noqa: F401  they register their queries
+from motorcade.plans.base import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
