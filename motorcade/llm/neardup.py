@@ -5,14 +5,14 @@ stood for by its smallest id. Classes that share a band of their MinHash signatu
 compared batch by batch; a pair goes as soon as the posterior probability that it reaches the threshold falls under
 MISS. Survivors are verified on the full sets of their texts, and links joined to components.
 
-Candidates are never all pairs of a bucket: each bucket compares its members with one pivot, the member that shares
-most buckets with others (an original rather than one of its copies). As long as a bucket holds members of different
-components that weren't compared, it goes on with more pivots, or, once few members are left, with the pairs that are
-still apart. Before large buckets do so, their members' shingles are counted. Pairs that share a rare shingle, one that
-at most RARE of these members have, are candidates by themselves, as far as the number they share allows; all other
-pairs overlap in frequent shingles only, which rules out the many that share a passage or an original without being
-alike. So no link between components is lost, and a bucket of n alike members costs n. A bucket's rows are
-spread over tasks by joins that Spark can split, and labels spread by star contraction in tables.
+Candidates are never all pairs of a bucket: each bucket first compares its members with one pivot, the member that
+shares most buckets with others (an original rather than one of its copies), so a bucket of n alike members costs n.
+Buckets that still hold members of different components go on. Those with few members left compare the pairs that are
+still apart. The members of larger ones, which share a passage or an original without being alike, get an exact way:
+their shingles are counted, and since sets that reach the threshold share one of their rarest shingles, at a place
+that leaves enough to overlap, only such pairs of different components become candidates. Of a shingle's members those
+of its main component aren't compared with each other. So no link between components is lost. Rows are spread over
+tasks by joins that Spark can split, and labels spread by star contraction in tables.
 
 With 60 bands of 8 a pair at a similarity of 0.8 shares no band with probability 2e-5, one at 0.85 with 5e-9; MISS
 adds at most 1e-6.
@@ -30,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorcade.llm import kernels as K
@@ -39,11 +39,8 @@ from motorcade.llm.common import dropped, written
 BANDS, ROWS = 60, 8
 STEP = 40
 MISS = 1e-6
-#: A bucket with at most so many uncompared members compares those that are still apart; larger ones take pivots.
+#: A bucket with at most so many uncompared members compares those that are still apart.
 SMALL = 32
-#: Shingles of at most so many members of large buckets are rare.
-RARE = 8
-PIVOTS = 16
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -247,17 +244,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, miss: floa
 def _linked(members: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataFrame, width: int, percent: int, miss: float) -> DataFrame | None:
     """Component labels of class representatives that share a bucket (members: bucket, rep, size)."""
 
-    def near(n: Column, e: Column, m: Column, f: Column) -> Column:
-        """Whether sets of n and m shingles, of which at most e and f are shared with others, can reach the threshold."""
-        both = F.least(e, f)
-        return 100 * both >= percent * (n + m - both)
-
+    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  sets of other sizes can't reach it
     # how many rows of other members each representative meets over all its buckets
     met = members.groupBy("rep").agg(F.sum("size").alias("met")).join(classes.select("rep", "n"), "rep")
     met = written(met, "met")
     sigs = written(sigs.select("id", "sig").join(met.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "met-signatures")
     docs = written(docs.join(met.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "met-texts")
-    members = written(members.select("bucket", "rep").join(met, "rep").withColumn("e", F.col("n")), "met-members")
+    members = written(members.select("bucket", "rep").join(met, "rep"), "met-members")
     labels: DataFrame | None = None
 
     def take(pairs: DataFrame) -> None:
@@ -275,63 +268,44 @@ def _linked(members: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataF
             dropped(new)
         dropped(left)
 
-    def rare_pairs(rest: DataFrame) -> DataFrame:
-        """Count the shingles of members of large buckets, set e (frequent shingles) of their rows, drop those that can't
-        reach the threshold by these, and return the pairs that can by rare ones."""
-        nonlocal members
-        big = rest.where(F.col("left") > SMALL)
-        rows = written(shingles(big.select(F.col("rep").alias("id")).distinct(), docs, width), "shingles")
-        few = written(rows.groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") <= RARE), "rare")
-        rows_few = written(rows.join(few, "shingle"), "rare-rows")
-        sizes = met.select(F.col("rep").alias("id"), "n").join(rows_few.groupBy("id").agg(F.count("*").alias("rare")), "id").withColumn("e", F.col("n") - F.col("rare"))
-        sizes = written(sizes.select("id", "n", "e"), "sizes")
-        e = F.when(F.col("left") > SMALL, F.coalesce("se", "n")).otherwise(F.col("n"))
-        new = rest.drop("e").join(sizes.select(F.col("id").alias("rep"), F.col("e").alias("se")), "rep", "left").withColumn("e", e)
-        members = written(new.where(F.col("e") * 100 >= F.col("n") * percent).select("bucket", "rep", "met", "n", "e"), "met-members")
-        some = rows_few.where("k > 1")
-        both = some.select("shingle", F.col("id").alias("a")).join(some.select("shingle", F.col("id").alias("b")), "shingle").where("a < b")
-        both = both.groupBy("a", "b").agg(F.count("*").alias("s"))
-        x, y = (sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("e").alias(f"e{c}")) for c in "ab")
-        most = F.least("ea", "eb") + F.col("s")
-        return both.join(x, "a").join(y, "b").where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
+    def prefix_pairs(rest: DataFrame) -> DataFrame:
+        """Pairs of members of large buckets, of different components, that share one of their rarest shingles."""
+        big = written(rest.where(F.col("left") > SMALL).select(F.col("rep").alias("id"), "n", "c").distinct(), "large")
+        rows = written(shingles(big.select("id"), docs, width), "shingles")
+        rows_k = rows.join(rows.groupBy("shingle").agg(F.count("*").alias("k")), "shingle").join(big, "id")
+        place = F.row_number().over(Window.partitionBy("id").orderBy("k", "shingle")) - 1
+        needed = F.ceil(F.col("n") * percent / 100)
+        prefix = rows_k.withColumn("place", place).where((F.col("place") <= F.col("n") - needed) & (F.col("k") > 1))
+        prefix = written(prefix.select("shingle", "id", "n", "c", (F.col("n") - F.col("place")).alias("most")), "prefixes")
+        main = prefix.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        main = written(main.select("shingle", "main"), "main-components")
+        x = prefix.join(main, "shingle").where("c != main").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("most").alias("ma"))
+        y = prefix.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("most").alias("mb"))
+        most = F.least("ma", "mb")
+        apart = x.join(y, "shingle").where((F.col("ca") != F.col("cb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
+        return apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     best = F.struct("met", (-F.col("rep")).alias("neg"), F.col("n"))
     pivots = members.groupBy("bucket").agg(F.max(best).alias("p")).select("bucket", (-F.col("p.neg")).alias("p"), F.col("p.n").alias("pn"))
     pivots = written(pivots, "pivots")
-    first = members.join(pivots, "bucket").where((F.col("rep") != F.col("p")) & near(F.col("n"), F.col("n"), F.col("pn"), F.col("pn")))
+    first = members.join(pivots, "bucket").where((F.col("rep") != F.col("p")) & near(F.col("n"), F.col("pn")))
     take(first.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")))
-    gone, salt, many = pivots.select("bucket", "p"), 0, PIVOTS
-    while True:
-        rest = members.join(gone.withColumnRenamed("p", "rep"), ["bucket", "rep"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")) if labels is not None else rest.withColumn("c", F.col("rep"))
-        rest = written(rest.select("bucket", "rep", "n", "e", "met", "c"), "uncompared")
-        open_ = rest.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("left")).where("lo != hi").select("bucket", "left")
-        open_ = written(open_, "open")
-        if open_.isEmpty():
-            dropped(open_, rest)
-            return labels
-        new = written(rest.join(open_, "bucket"), "rest")
-        dropped(open_, rest)
-        rest = new
-        if not salt:  # later rounds have fewer open members, for which these counts still hold
-            take(_apart(rare_pairs(rest), labels))
-            salt = 1
+    rest = members.join(pivots.select("bucket", F.col("p").alias("rep")), ["bucket", "rep"], "left_anti")
+    for large in (True, False):
+        now = rest.select("bucket", "rep", "n")
+        now = now.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component") if labels is not None else now.withColumn("c", F.col("rep"))
+        now = written(now, "uncompared")
+        open_ = now.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("left")).where("lo != hi").select("bucket", "left")
+        new = written(now.join(open_, "bucket"), "rest")
+        dropped(now)
+        if large:
+            take(prefix_pairs(new))
+            rest = new.where(F.col("left") <= SMALL)
             continue
-        small = rest.where(F.col("left") <= SMALL)
-        x = small.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("e").alias("ea"), F.col("c").alias("ca"))
-        y = small.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("e").alias("eb"), F.col("c").alias("cb"))
-        pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("ea"), F.col("nb"), F.col("eb"))).select("a", "b")
-        salt += 1
-        large = rest.where(F.col("left") > SMALL)
-        slot = F.pmod(F.xxhash64(F.lit(salt), "rep"), F.lit(many))
-        chosen = large.groupBy("bucket", slot.alias("slot")).agg(F.max(F.struct("met", "rep", "n", "e", "c")).alias("p"))
-        chosen = written(chosen.select("bucket", F.col("p.rep").alias("p"), F.col("p.n").alias("pn"), F.col("p.e").alias("pe"), F.col("p.c").alias("pc")), "pivots")
-        many *= 8
-        more = large.join(chosen, "bucket").where((F.col("rep") != F.col("p")) & (F.col("c") != F.col("pc")) & near(F.col("n"), F.col("e"), F.col("pn"), F.col("pe")))
-        take(pairs.unionByName(more.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))))
-        done = small.select("bucket", F.col("rep").alias("p"))
-        gone = written(gone.unionByName(done).unionByName(chosen.select("bucket", "p")), "compared")
-        dropped(rest, chosen)
+        x = new.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        y = new.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
+        take(x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b"))
+    return labels
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
