@@ -10,7 +10,9 @@ from motorcade.functions.geo import geohash, haversine
 from motorcade.functions.ids import uuid3
 from motorcade.operators.safety import cooled
 
-ORDER = Window.partitionBy("vehicle_pid").orderBy("ts_ms", "seq")
+
+def in_order():
+    return Window.partitionBy("vehicle_pid").orderBy("ts_ms", "seq")
 
 
 def half_up(x: Column, places: int) -> Column:
@@ -22,8 +24,8 @@ def half_up(x: Column, places: int) -> Column:
 def islands(df: DataFrame, inside: Column, name: str = "island") -> DataFrame:
     """Samples with `inside`, the running number of the run they belong to, and the next sample's time."""
     df = df.withColumn("inside", F.coalesce(inside, F.lit(False)))
-    change = F.when(F.col("inside") != F.lag("inside").over(ORDER), 1).otherwise(0)
-    return df.withColumn("_change", change).withColumn(name, F.sum("_change").over(ORDER)).withColumn("next_ms", F.lead("ts_ms").over(ORDER)).withColumn("prev_ms", F.lag("ts_ms").over(ORDER)).drop("_change")
+    change = F.when(F.col("inside") != F.lag("inside").over(in_order()), 1).otherwise(0)
+    return df.withColumn("_change", change).withColumn(name, F.sum("_change").over(in_order())).withColumn("next_ms", F.lead("ts_ms").over(in_order())).withColumn("prev_ms", F.lag("ts_ms").over(in_order())).drop("_change")
 
 
 def idle_condition(speed_kmh: float = IDLE.speed_kmh) -> Column:

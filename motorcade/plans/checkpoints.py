@@ -1,0 +1,13 @@
+"""Checkpoint folder of a session."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def ensure(spark: SparkSession) -> None:
+    """Use the folder that spark.checkpoint.dir names; set a temporary one only where it is unset (tests)."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="motorcade-"))
