@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motorcade.llm import kernels as K
-from motorcade.llm.common import dropped, written
+from motorcade.llm.common import bounded, dropped, written
 
 BITS = 13
 SHAPES = 64
@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     ["grade", "f", "v"],
                 )
 
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
+    rows = bounded(docs).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
     got = rows.orderBy(id_col, "text").select("grade", "text").mapInArrow(run, "grade int, f array<int>, v array<float>").toArrow()
     dropped(picked)
     y = got["grade"].to_numpy().astype(np.int64)
@@ -143,4 +143,4 @@ def rate(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: s
                 tail = above[:, GOOD - 1]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(above.sum(1)), pa.array(tail), pa.array(tail >= KEEP_AT)], [id_col, "expected_grade", "tail", "kept"])
 
-    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, expected_grade double, tail double, kept boolean")
+    return bounded(df).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, expected_grade double, tail double, kept boolean")

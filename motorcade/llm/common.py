@@ -18,6 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Bounds on what a Python worker holds of its input at a time, set where the session has Spark's defaults.
+BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same frame, with the session's Arrow batches bounded in rows and bytes, since texts may be long."""
+    conf = df.sparkSession.conf
+    for key, default, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", None, BATCH_BYTES)):
+        now = conf.get(key, None)
+        if now in (None, default) or (default is None and now.isdigit() and int(now) > value):
+            conf.set(key, str(value))
+    return df
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorcade.llm.common import dropped, written
+from motorcade.llm.common import bounded, dropped, written
 
 BITS = 15
 MAX_FIT = 2048
@@ -56,7 +56,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_FIT) -> LanguageModel:
     """Learn from rows with a text and a language; the caller leaves out rows that must not be learnt from."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = bounded(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     picked = written(rows.select(F.col(id_col)).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most), "lang-fit")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,4 +113,4 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
                 pred[part], score[part] = s.argmax(1), e.max(1) / e.sum(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[pred].tolist(), pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
-    return df.select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, lang_pred string, score double")
+    return bounded(df).select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, lang_pred string, score double")

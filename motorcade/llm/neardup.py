@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorcade.llm import kernels as K
-from motorcade.llm.common import dropped, written
+from motorcade.llm.common import bounded, dropped, written
 
 BANDS, ROWS = 60, 8
 STEP = 40
@@ -106,7 +106,7 @@ def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                     ["id", "n", "fp1", "fp2", "sig", "bands"],
                 )
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "id long, n long, fp1 long, fp2 long, sig binary, bands array<long>")
 
 

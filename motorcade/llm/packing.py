@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motorcade.llm.common import bounded
+
 CAPACITY = 1024
 END_ID = 0
 #: A block is packed when it has so many remainders or holds so many tokens.
@@ -218,4 +220,4 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: s
         if rows:
             yield flush()
 
-    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return bounded(df).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, schema)

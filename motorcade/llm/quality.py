@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motorcade.llm import kernels as K
+from motorcade.llm.common import bounded
 
 #: Fixed word lists: common words of each language.
 COMMON_WORDS = (
@@ -127,7 +128,7 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
         if total:
             yield pa.RecordBatch.from_pydict({"lang": list(total), "counts": [v.tolist() for v in total.values()]}, pa.schema([("lang", pa.string()), ("counts", pa.list_(pa.int64()))]))
 
-    parts = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, counts array<long>")
+    parts = bounded(df).where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, counts array<long>")
     sums = parts.select("lang", F.posexplode("counts")).groupBy("lang", "pos").agg(F.sum("col").alias("n"))
     rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("h")).orderBy("lang").collect()
     hist = {r["lang"]: [x["n"] for x in r["h"]] for r in rows}
@@ -155,7 +156,7 @@ def quality(df: DataFrame, refs: dict[str, tuple[list[int], list[int]]], id_col:
                     [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"],
                 )
 
-    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(judge, schema)
+    return bounded(df).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(judge, schema)
 
 
 def _nearest(counts: np.ndarray, ref: np.ndarray, enough: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray]:

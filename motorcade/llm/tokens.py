@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motorcade.llm.common import bounded
+
 LIMIT = 4096
 SPACE = "▁"
 UNIT = re.compile(rf"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
@@ -195,4 +197,4 @@ def token_counts(df: DataFrame, model_path: str, limit: int = LIMIT, id_col: str
                 names += ["fit_chars", "unit_ends", "unit_totals"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, f"{id_col} {dict(df.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean{more}")
+    return bounded(df).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(count, f"{id_col} {dict(df.dtypes)[id_col]}, n_bytes long, n_tokens long, over_limit boolean{more}")

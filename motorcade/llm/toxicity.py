@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motorcade.llm.common import dropped, written
+from motorcade.llm.common import bounded, dropped, written
 
 #: Bound on labelled rows read for the fit.
 MAX_FIT = 12_000
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn a grammar from labelled rows; the caller leaves out rows that must not be learnt from."""
     picked = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
+    rows = bounded(docs).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
     rows = written(rows.select("y", "text").distinct(), "toxic-fit")
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
@@ -256,9 +256,11 @@ def score(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = grammar.compiled()
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([grammar.score(a, t) for t in texts], pa.float64())], [*b.schema.names[:-1], "score"])
+            scores = [grammar.score(a, t.as_py() or "") for t in b.column(at)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(scores, pa.float64())], [*cols, "score"])
 
     cols = [id_col, *keep]
+    sent = list(dict.fromkeys([*cols, text_col]))
+    at = sent.index(text_col)
     schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in cols) + ", score double"
-    return df.select(*cols, F.coalesce(F.col(text_col), F.lit("")).alias("_scored_text")).mapInArrow(run, schema)
+    return bounded(df).select(*sent).mapInArrow(run, schema)
