@@ -86,14 +86,15 @@ def charging_plan(e0: float, target: float, most: float, prices: list[float], ch
     level = lambda e: max(0, min(n - 1, round(e / step)))
     start, goal = level(e0), level(target)
     reach = [min(n - 1 - i, math.floor(charge_power(i * step, most, kw) * hours * eta / step + 1e-9)) for i in range(n)]
+    levels, can = np.arange(n), {a: np.array(reach[: n - a]) >= a for a in range(1, max(reach, default=0) + 1)}
     f = np.full(n, np.inf)
     f[start], came = 0.0, []
     for p in prices:
-        g, frm = f.copy(), np.arange(n)
+        g, frm = f.copy(), levels.copy()
         for a in range(1, max(reach, default=0) + 1):
-            for i in range(n - a):
-                if a <= reach[i] and f[i] + a * step / eta * p < g[i + a] - 1e-12:
-                    g[i + a], frm[i + a] = f[i] + a * step / eta * p, i
+            cost = np.where(can[a], f[: n - a] + a * step / eta * p, np.inf)
+            less = cost < g[a:] - 1e-12
+            g[a:][less], frm[a:][less] = cost[less], levels[: n - a][less]
         f = g
         came.append(frm)
     ok = np.flatnonzero(np.isfinite(f[goal:])) + goal
@@ -122,7 +123,9 @@ def charging_plans(requests: DataFrame) -> DataFrame:
                 out += [(r.request_id, i + 1, float(price), k, p.cost, p.baseline, p.saving, p.feasible) for i, (price, k) in enumerate(zip(r.prices, p.slot_kwh, strict=True))]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PLAN_SCHEMA.split(", ")])
 
-    return requests.mapInPandas(run, PLAN_SCHEMA)
+    # few bytes but much work per request: dealt over all cores, which a size-based split wouldn't do
+    cores = requests.sparkSession.sparkContext.defaultParallelism
+    return requests.repartition(cores, "request_id").mapInPandas(run, PLAN_SCHEMA)
 
 
 def price_slots(n: int = 48) -> Column:

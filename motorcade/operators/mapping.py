@@ -124,17 +124,42 @@ class Registry:
         return spark.createDataFrame(rows, "oem string, schema_ver int, format string, state string, config string")
 
 
-def _source(raw: Column, mapping: dict, path: str) -> Column:
-    """Raw text of a field: a path into JSON, a signal by name, or a place in a delimited line; empty is null."""
+def _paths(mapping: dict) -> list[str]:
+    return sorted({mapping["vin_field"], *(r["source"] for r in mapping["fields"].values())})
+
+
+def _ddl(paths: list[str]) -> str:
+    """Struct type that holds the text at each dotted path."""
+    tree: dict[str, list[str]] = {}
+    for p in paths:
+        head, _, rest = p.partition(".")
+        tree.setdefault(head, []).extend([rest] if rest else [])
+    return "struct<" + ",".join(f"`{k}`:{_ddl(v) if v else 'string'}" for k, v in tree.items()) + ">"
+
+
+def parsed(mapping: dict, raw: Column) -> Column:
+    """The payload parsed once: its parts if delimited, else a struct of the texts that the mapping reads, with the list
+    of signals if it has one. Fields take from it what they need; keep it as a column of its own."""
     if mapping["format"] == "delimited":
         import re
 
-        return F.nullif(F.trim(F.get(F.split(raw, re.escape(mapping["delimiter"])), F.lit(int(path)))), F.lit(""))
-    direct = F.get_json_object(raw, f"$.{path}")
+        return F.split(raw, re.escape(mapping["delimiter"]))
+    ddl = _ddl(_paths(mapping))
+    if mapping["format"] == "signal_list":
+        ddl = ddl[:-1] + ",signals:array<struct<n:string,v:string>>>"
+    return F.from_json(raw, ddl)
+
+
+def _source(parts: Column, mapping: dict, path: str) -> Column:
+    """Raw text of a field: a path into JSON, a signal by name, or a place in a delimited line; empty is null."""
+    if mapping["format"] == "delimited":
+        return F.nullif(F.trim(F.get(parts, F.lit(int(path)))), F.lit(""))
+    direct = parts
+    for name in path.split("."):
+        direct = direct[name]
     if mapping["format"] == "json":
         return direct
-    signals = F.from_json(F.get_json_object(raw, "$.signals"), "array<struct<n:string,v:string>>")
-    named = F.get(F.filter(signals, lambda x: x["n"] == path), F.lit(0))["v"]
+    named = F.get(F.filter(parts["signals"], lambda x: x["n"] == path), F.lit(0))["v"]
     return F.coalesce(direct, named)
 
 
@@ -173,15 +198,16 @@ def _value(name: str, rule: dict, text: Column) -> Column:
     return text
 
 
-def compiled(mapping: dict, raw: Column) -> tuple[Column, Column]:
-    """(struct of vin and all canonical fields, whether a required field is missing). Required is tested before defaults."""
-    missing, cols = F.lit(False), [F.upper(F.trim(_source(raw, mapping, mapping["vin_field"]))).alias("vin")]
+def compiled(mapping: dict, parts: Column) -> tuple[Column, Column]:
+    """(struct of vin and all canonical fields, whether a required field is missing) of a parsed payload. Required is tested
+    before defaults."""
+    missing, cols = F.lit(False), [F.upper(F.trim(_source(parts, mapping, mapping["vin_field"]))).alias("vin")]
     for name, kind in TYPES.items():
         rule = mapping["fields"].get(name)
         if rule is None:
             cols.append(F.lit(None).cast(kind).alias(name))
             continue
-        value = _value(name, rule, _source(raw, mapping, rule["source"]))
+        value = _value(name, rule, _source(parts, mapping, rule["source"]))
         value = value if kind == "array<string>" else value.try_cast(kind)
         if rule.get("required"):
             missing = missing | value.isNull()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motorcade.config import CLOCK_SKEW, VIN_WARN
 from motorcade.functions import codes, ids
-from motorcade.operators.mapping import TYPES, Registry, compiled
+from motorcade.operators.mapping import TYPES, Registry, compiled, parsed
 
 AHEAD_MS, BEHIND_MS = 10 * 60 * 1000, 7 * 24 * 3600 * 1000
 
@@ -43,18 +43,21 @@ def normalize(df: DataFrame, registry: DataFrame, mappings: Registry | None = No
     df = detected(df)
     raw, known = F.col("raw"), F.lit(False)
     kind = "struct<vin:string," + ",".join(f"{n}:{t}" for n, t in TYPES.items()) + ">"
-    fields, missing = F.lit(None).cast(kind), F.lit(False)
+    fields, missing, parts = F.lit(None).cast(kind), F.lit(False), {}
     for oem in sorted({o for o, _ in mappings.active}):
         versions = mappings.versions(oem)
         is_oem = F.col("oem") == oem
         known = known | is_oem
         for v in versions:
             here = is_oem & ((F.col("schema_ver") == v) if v != versions[-1] else ~F.col("schema_ver").isin(versions[:-1]))
-            struct, lacks = compiled(mappings.lookup(oem, v), raw)
+            mapping, name = mappings.lookup(oem, v), f"_p_{oem}_{v}"
+            parts[name] = F.when(here, parsed(mapping, raw))
+            struct, lacks = compiled(mapping, F.col(name))
             fields = F.when(here, struct.cast(kind)).otherwise(fields)
             missing = F.when(here, lacks).otherwise(missing)
     is_json = F.when(F.col("oem") == "D", raw.contains("|")).otherwise(F.try_parse_json(raw).isNotNull() & raw.rlike(r"^\s*\{"))
-    df = df.withColumn("_json", F.coalesce(is_json, F.lit(False))).withColumn("_known", F.coalesce(known, F.lit(False))).withColumn("_f", fields).withColumn("_missing", missing)
+    df = df.withColumns(parts)
+    df = df.withColumn("_json", F.coalesce(is_json, F.lit(False))).withColumn("_known", F.coalesce(known, F.lit(False))).withColumn("_f", fields).withColumn("_missing", missing).drop(*parts)
     df = df.select("*", "_f.*").drop("_f")
     owners = registry.select(F.upper("vin").alias("_vin"), "vehicle_pid", "tenant_id").dropDuplicates(["_vin"])
     df = df.join(owners, F.col("vin") == F.col("_vin"), "left")
@@ -83,8 +86,9 @@ def rejected(df: DataFrame) -> DataFrame:
 
 def shadow_differences(df: DataFrame, active: dict, shadow: dict) -> DataFrame:
     """Per field, how many payloads the shadow mapping reads otherwise than the active one."""
-    a, _ = compiled(active, F.col("raw"))
-    b, _ = compiled(shadow, F.col("raw"))
+    df = df.select(parsed(active, F.col("raw")).alias("_a"), parsed(shadow, F.col("raw")).alias("_b"))
+    a, _ = compiled(active, F.col("_a"))
+    b, _ = compiled(shadow, F.col("_b"))
     diff = [F.count_if(~F.col("a")[n].eqNullSafe(F.col("b")[n])).alias(n) for n in TYPES]
     got = df.select(F.array(a, b).alias("x")).select(F.get("x", F.lit(0)).alias("a"), F.get("x", F.lit(1)).alias("b")).agg(*diff)
     return got.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("differences")) for n in TYPES])).alias("x")).select("x.*")
