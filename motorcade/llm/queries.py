@@ -62,4 +62,20 @@ QUERIES = {
     f.__name__: f
     for f in (op1_pii, op2_quality_divergence, op3_mixing, op4_token_counts, op5_toxicity, op6_quality_classifier, op7_near_duplicates, op8_language, op9_packing, op10_neighbours)
 }
-ORACLE: dict[str, str] = {}
+#: Exact components over all pairs that share a shingle. The other queries have no SQL form: they learn weights, run
+#: tokenizer files, or use look-around patterns; tests compare them with brute force or held-out labels.
+ORACLE: dict[str, str] = {
+    "op7_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS sh FROM w
+), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN s sx ON sx.doc_id = x JOIN s sy ON sy.doc_id = y WHERE 100 * c >= 80 * (len(sx.sh) + len(sy.sh) - c)),
+b AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM r JOIN b ON b.x = r.y)
+SELECT s.doc_id, len(s.sh) AS n_shingles, min(r.y) AS component_id, s.doc_id = min(r.y) AS kept FROM s JOIN r ON r.x = s.doc_id GROUP BY s.doc_id, len(s.sh)
+""",
+}
