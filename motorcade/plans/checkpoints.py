@@ -11,3 +11,11 @@ def ensure(spark: SparkSession) -> None:
     """Use the folder that spark.checkpoint.dir names; set a temporary one only where it is unset (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="motorcade-"))
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table, where all executors can read it."""
+    import uuid
+
+    ensure(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

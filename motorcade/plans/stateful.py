@@ -624,6 +624,15 @@ def gen_oem(spark, sf):
     return p.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+for _kind, _name in enumerate(("gen_oem_a", "gen_oem_b", "gen_oem_c", "gen_oem_d", "gen_oem_e1", "gen_oem_e2")):
+
+    @query(_name, f"SELECT event_id, {'floor(lat_e6 / 10.0 + 0.5)::INTEGER * 10' if _kind == 3 else 'lat_e6'} AS lat_e6, ts_ms AS ts_event FROM t WHERE event_id % 50 <> 0 AND k % 6 = {_kind}")
+    def _encoded(spark, sf, kind=_kind):
+        from motorcade.plans.edges import _mapped
+
+        return _mapped(spark, sf, kind, kind, "lat_e6", "ts_event").drop("lacks")
+
+
 @query("gen_ground_truth", f", {DELTAS} SELECT event_id, CASE WHEN accel <= -3.0 THEN 'BRAKE' WHEN accel >= 2.5 THEN 'ACCEL' WHEN speed_kmh > 110 THEN 'OVERSPEED' ELSE 'NONE' END AS label FROM a WHERE dt_ms > 0")
 def gen_ground_truth(spark, sf):
     a = F.col("accel_ms2")
