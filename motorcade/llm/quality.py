@@ -32,11 +32,11 @@ WORDS = tuple(dict.fromkeys(COMMON_WORDS))
 CLASSES = ("lower", "upper", "digit", "space", "line", "mark", "symbol", "other")
 SYMBOLS = b"#*$%&|<>"
 #: Guards: fewer characters or words than these aren't judged by the class or word histogram.
-MIN_CHARS = 200
-MIN_WORDS = 60
+MIN_CHARS = 400
+MIN_WORDS = 100
 #: Distances to the nearest language above which a document is rejected.
-MAX_CLASS_DISTANCE = 0.45
-MAX_WORD_DISTANCE = 0.6
+MAX_CLASS_DISTANCE = 0.25
+MAX_WORD_DISTANCE = 0.33
 
 _CLASS = np.full(256, 7, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = 0
