@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motorcade.checkpoints import ensure
 from motorcade.operators.trips import metres
 
 # labelling ---------------------------------------------------------------------------------------
@@ -236,6 +237,7 @@ def relaxed(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
     that don't fit one process: each round is a join and a minimum; it ends early when nothing changes.
 
     edges: src, dst, kwh; sources: node."""
+    ensure(edges.sparkSession)
     dist = sources.select("node", F.lit(0.0).alias("dist")).distinct()
     for _ in range(rounds):
         step = edges.join(dist, edges["dst"] == dist["node"]).select(F.col("src").alias("node"), (F.col("kwh") + F.col("dist")).alias("dist"))
@@ -280,6 +282,7 @@ def grid_graph(n: int, south: float = 13.0, west: float = 80.0, step: float = 0.
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (a, b), by spreading minima with shortcuts."""
+    ensure(edges.sparkSession)
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     label = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")).checkpoint()
     for _ in range(rounds):

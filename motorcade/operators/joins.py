@@ -45,11 +45,13 @@ def with_latest(keys: DataFrame, facts: DataFrame, key: str, order: list[Column]
     return keys.join(best, key, "left")
 
 
-def nearest(points: DataFrame, places: DataFrame, k: int, distance: Column, point_id: str, place_id: str) -> DataFrame:
-    """The k nearest places of each point. places must be a small table (chargers): it is checked against the broadcast
-    threshold by the optimizer; larger sets go through cells (see geofence)."""
+def nearest(points: DataFrame, places: DataFrame, k: int, distance: Column, point_id: str, place_id: str, most: int = 10_000) -> DataFrame:
+    """The k nearest places of each point. Every point is held against every place, so places are counted first: more than
+    `most` are refused, and up to that many are broadcast. Larger sets go through map cells (see geofence)."""
+    if places.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} places")
     w = Window.partitionBy(point_id).orderBy("distance", place_id)
-    return points.join(places).withColumn("distance", distance).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return points.crossJoin(F.broadcast(places)).withColumn("distance", distance).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:

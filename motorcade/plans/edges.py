@@ -8,7 +8,7 @@ from motorcade.operators import episodes, mapping, normalize, paging, safety
 from motorcade.operators.fold import fold
 from motorcade.operators.trips import trips
 from motorcade.plans.base import query
-from motorcade.plans.checkpoints import folder
+from motorcade.checkpoints import folder
 from motorcade.plans.relational import LIVE
 from motorcade.plans.scalars import payloads, registry
 from motorcade.plans.stateful import SCORES, scores

@@ -103,7 +103,7 @@ def j_range_tariff(spark, sf):
 def j_nearest_charger(spark, sf):
     c = spark.range(12).select(F.col("id").cast("int").alias("charger"), (13.0 + F.col("id") * 0.01).alias("clat"), (80.2 + (F.col("id") % 5) * 0.03).alias("clon"))
     d = haversine(F.expr(LAT), F.expr(LON), F.col("clat"), F.col("clon"))
-    return joins.nearest(live.latest(telemetry(spark, sf)), F.broadcast(c), 3, d, "vehicle_pid", "charger").select("vehicle_pid", "charger", F.col("rank").cast("bigint").alias("rank"))
+    return joins.nearest(live.latest(telemetry(spark, sf)), c, 3, d, "vehicle_pid", "charger").select("vehicle_pid", "charger", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("j_anti_erasure", "SELECT event_id FROM t WHERE CAST(vehicle_pid AS INTEGER) % 7 <> 0")

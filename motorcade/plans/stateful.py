@@ -333,7 +333,7 @@ def _relaxed_sql(sources: str, reverse: bool) -> str:
 
 @query("graph_multisource", _relaxed_sql("SELECT 0 AS node, 0.0::DOUBLE AS dist UNION ALL SELECT 77, 0.0", True), telemetry=False)
 def graph_multisource(spark, sf):
-    from motorcade.plans.checkpoints import ensure
+    from motorcade.checkpoints import ensure
 
     ensure(spark)
     _, e = grid(spark)

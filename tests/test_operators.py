@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from motorcade.config import REORDER, ReorderConfig
 from motorcade.operators import algorithms, episodes, geofence, live, order, phases, rollups, sharing
 from motorcade.operators.trips import trip_step, trips
-from motorcade.plans.checkpoints import ensure
+from motorcade.checkpoints import ensure
 from motorcade.plans.telemetry import telemetry
 from motorcade.sources import readers, writers
 
