@@ -272,7 +272,8 @@ def dp_charging(spark, sf):
 
 @query("dp_baseline")
 def dp_baseline(spark, sf):
-    return dp_charging(spark, sf).groupBy("request_id").agg(F.max("baseline").alias("baseline"), F.max("saving").alias("saving"))
+    """What charging at once costs, to 4 places."""
+    return dp_charging(spark, sf).groupBy("request_id").agg(F.max("baseline").alias("baseline"))
 
 
 @query("alloc_depot")
@@ -371,7 +372,7 @@ def graph_astar(spark, sf):
 
 @query("graph_reachable")
 def graph_reachable(spark, sf):
-    return searched(spark, lambda g, s: [(s, c, d) for c, d in g.reachable(s, 2.5, [0, 30, 77, 100, 143])], "src int, charger int, kwh double")
+    return searched(spark, lambda g, s: [(s, c, d) for c, d in g.reachable(s, 2.5, [0, 30, 77, 100, 143])], "src int, charger int, kwh double").withColumn("kwh", rc(F.col("kwh"), 6))
 
 
 @query("graph_snap")
