@@ -225,7 +225,7 @@ def bucket_step(state, row, rate: float = 10.0, most: float = 120.0):
 
 @query("p_rate_limit")
 def p_rate_limit(spark, sf):
-    """Requests a thousand times as fast as samples come, so that buckets run dry; the totals follow from each decision before."""
+    """Requests a thousand times as fast as samples come, so that buckets run dry."""
     t = telemetry(spark, sf).select("vehicle_pid", (F.col("ts_ms") / 1000).cast("bigint").alias("ts_ms"), "seq")
     out = fold(t, "vehicle_pid", ["ts_ms", "seq"], lambda s, row: bucket_step(s, row, 10.0, 5.0), "vehicle_pid string, ts_ms bigint, seq bigint, allowed boolean")
     return out.groupBy("vehicle_pid").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))

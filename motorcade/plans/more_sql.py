@@ -63,3 +63,72 @@ for _i in range(24):
     _add = f"CASE WHEN e >= target THEN 0.0 ELSE least(({_power}) * 0.25 * 0.92, target - e, 60.0 - e) END"
     _BASE.append(f"p{_i + 1} AS (SELECT request_id, e + ({_add}) AS e, target, cost + ({_add}) / 0.92 * {_price} AS cost FROM p{_i})")
 ORACLE["dp_baseline"] = "WITH " + ", ".join(_BASE) + f" SELECT request_id, {r('cost', 4)} AS baseline FROM p24"
+
+
+def _trips_sql() -> str:
+    """The trip state machine row by row: state 0 of a vehicle is its first sample's, each step takes the next sample."""
+    from motorcade.plans.telemetry import haversine_sql, uuid3_sql
+
+    moved = haversine_sql("alat / 1e6", "alon / 1e6", "lat / 1e6", "lon / 1e6")
+    step = haversine_sql("llat / 1e6", "llon / 1e6", "lat / 1e6", "lon / 1e6")
+    gh = lambda a, b: geohash_sql(f"{a} / 1e6", f"{b} / 1e6", 7)
+    return f"""WITH RECURSIVE {TELEMETRY}, num AS (SELECT vehicle_pid, tenant_id, ts_ms AS now, lat_e6 AS lat, lon_e6 AS lon, speed_kmh AS speed, ignition, row_number() OVER (PARTITION BY vehicle_pid ORDER BY ts_ms, seq) AS rn FROM t),
+f AS (SELECT vehicle_pid, tenant_id, 0::BIGINT AS rn, 'STOPPED' AS phase, lat AS alat, lon AS alon, lat AS llat, lon AS llon, now AS seen, 0::BIGINT AS since, 0::BIGINT AS start, 0 AS olat, 0 AS olon, 0.0::DOUBLE AS km, 0::BIGINT AS idle, NULL::VARCHAR AS status, 0::BIGINT AS c_start, 0 AS c_olat, 0 AS c_olon, 0.0::DOUBLE AS c_km, 0::BIGINT AS c_idle FROM num WHERE rn = 1
+UNION ALL
+SELECT vehicle_pid, tenant_id, rn, CASE WHEN shut IS NOT NULL THEN 'STOPPED' ELSE next END, CASE WHEN shut IS NOT NULL THEN lat WHEN ema THEN CAST(trunc(alat * 0.9 + lat * 0.1) AS INTEGER) ELSE alat END, CASE WHEN shut IS NOT NULL THEN lon WHEN ema THEN CAST(trunc(alon * 0.9 + lon * 0.1) AS INTEGER) ELSE alon END, lat, lon, now,
+  CASE WHEN next <> phase AND next IN ('CANDIDATE', 'HALT') THEN now ELSE since END, CASE WHEN begun THEN since ELSE start END, CASE WHEN begun THEN lat ELSE olat END, CASE WHEN begun THEN lon ELSE olon END, CASE WHEN begun OR shut IS NOT NULL THEN 0.0 ELSE km2 END, CASE WHEN begun OR shut IS NOT NULL THEN 0 ELSE idle2 END,
+  shut, start, olat, olon, km2, idle2
+FROM (SELECT *, CASE WHEN phase = 'TRIP' OR (phase = 'HALT' AND speed >= 5) THEN km + CASE WHEN step > 2 AND step < 2000 THEN step / 1000 ELSE 0.0 END ELSE km END AS km2, CASE WHEN phase = 'HALT' THEN idle + (now - seen) // 1000 ELSE idle END AS idle2,
+    CASE WHEN phase = 'TRIP' AND now - seen >= 900000 THEN 'TRUNCATED' WHEN phase = 'HALT' AND speed < 5 AND (NOT ignition OR (now - since) // 1000 >= 300) THEN 'COMPLETED' END AS shut,
+    phase = 'STOPPED' AND NOT (speed >= 5 AND moved >= 30) AND moved < 30 AS ema, phase = 'CANDIDATE' AND speed >= 1 AND ((now - since) // 1000 >= 10 OR moved >= 50) AS begun,
+    CASE phase WHEN 'STOPPED' THEN CASE WHEN speed >= 5 AND moved >= 30 THEN 'CANDIDATE' ELSE 'STOPPED' END WHEN 'CANDIDATE' THEN CASE WHEN speed < 1 THEN 'STOPPED' WHEN (now - since) // 1000 >= 10 OR moved >= 50 THEN 'TRIP' ELSE 'CANDIDATE' END WHEN 'TRIP' THEN CASE WHEN speed < 1 THEN 'HALT' ELSE 'TRIP' END ELSE CASE WHEN speed >= 5 THEN 'TRIP' ELSE 'HALT' END END AS next
+  FROM (SELECT f.vehicle_pid, f.tenant_id, n.rn, f.phase, f.alat, f.alon, f.seen, f.since, f.start, f.olat, f.olon, f.km, f.idle, n.now, n.lat, n.lon, n.speed, n.ignition, {moved.replace('alat', 'f.alat').replace('alon', 'f.alon').replace('(lat', '(n.lat').replace('(lon', '(n.lon')} AS moved, {step.replace('llat', 'f.llat').replace('llon', 'f.llon').replace('(lat', '(n.lat').replace('(lon', '(n.lon')} AS step FROM f JOIN num n ON n.vehicle_pid = f.vehicle_pid AND n.rn = f.rn + 1)))
+SELECT {uuid3_sql("vehicle_pid || ':' || c_start")} AS trip_id, vehicle_pid, tenant_id, c_start AS start_ms, seen AS end_ms, c_olat AS start_lat_e6, c_olon AS start_lon_e6, {gh('c_olat', 'c_olon')} AS start_geohash7, llat AS end_lat_e6, llon AS end_lon_e6, {gh('llat', 'llon')} AS end_geohash7,
+  {r('c_km')} AS distance_km, CAST(greatest(1, (seen - c_start) // 1000) AS INTEGER) AS duration_s, CAST(c_idle AS INTEGER) AS idle_s, {r('c_km * 0.08')} AS fuel_l, {r('c_km * 0.08 * 1.45', 2)} AS cost, {r('c_km * 0.08 * 2.31', 2)} AS co2_kg, status FROM f WHERE status IS NOT NULL"""
+
+
+ORACLE["st_trip_fsm"] = _trips_sql()
+
+
+def _stepped(rows: str, start: str, columns: str, inner: str, tail: str) -> str:
+    """Row by row over `num`: `start` gives state columns from a vehicle's first row, `inner` those after the next row n."""
+    return f"WITH RECURSIVE {TELEMETRY}, num AS ({rows}), f AS (SELECT vehicle_pid, rn, ts_ms, seq, {start} FROM num WHERE rn = 1 UNION ALL SELECT vehicle_pid, rn, ts_ms, seq, {columns} FROM ({inner})) {tail}"
+
+
+_GPS_KM = "6371008.8 * 2 * asin(sqrt(least(1.0, pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
+ORACLE["st_gps_filter"] = _stepped(
+    "SELECT vehicle_pid, ts_ms, seq, lat_e6 / 1e6 AS lat, lon_e6 / 1e6 AS lon, speed_kmh, row_number() OVER (PARTITION BY vehicle_pid ORDER BY ts_ms, seq) AS rn FROM t",
+    "lat AS alat, lon AS alon, ts_ms AS ats, 0 AS streak, 0.0::DOUBLE AS slat, 0.0::DOUBLE AS slon, false AS suspect",
+    "CASE WHEN taken THEN lat ELSE alat END, CASE WHEN taken THEN lon ELSE alon END, CASE WHEN taken THEN ts_ms ELSE ats END, CASE WHEN taken THEN 0 WHEN same THEN streak ELSE streak + 1 END, CASE WHEN taken THEN 0.0 WHEN same THEN slat ELSE slat + lat END, CASE WHEN taken THEN 0.0 WHEN same THEN slon ELSE slon + lon END, NOT taken AND NOT same",
+    "SELECT *, NOT same AND (kmh <= CASE WHEN speed_kmh >= 2 THEN greatest(250.0, 3 * speed_kmh) ELSE 250.0 END OR (streak >= 2 AND "
+    + _GPS_KM.format(a="((slat + lat) / (streak + 1))", b="((slon + lon) / (streak + 1))", c="lat", d="lon")
+    + " <= 100)) AS taken FROM (SELECT f.vehicle_pid, n.rn, n.ts_ms, n.seq, f.alat, f.alon, f.ats, f.streak, f.slat, f.slon, n.lat, n.lon, n.speed_kmh, n.ts_ms <= f.ats AS same, CASE WHEN n.ts_ms > f.ats THEN "
+    + _GPS_KM.format(a="f.alat", b="f.alon", c="n.lat", d="n.lon")
+    + " / 1000 / ((n.ts_ms - f.ats) / 3600000) END AS kmh FROM f JOIN num n ON n.vehicle_pid = f.vehicle_pid AND n.rn = f.rn + 1)",
+    "SELECT vehicle_pid, ts_ms, seq, suspect FROM f",
+)
+ORACLE["p_rate_limit"] = _stepped(
+    "SELECT vehicle_pid, ts_ms // 1000 AS ts_ms, seq, row_number() OVER (PARTITION BY vehicle_pid ORDER BY ts_ms // 1000, seq) AS rn FROM t",
+    "4.0::DOUBLE AS tokens, true AS allowed",
+    "CASE WHEN have >= 1 THEN have - 1 ELSE have END, have >= 1",
+    "SELECT f.vehicle_pid, n.rn, n.ts_ms, n.seq, least(5.0, f.tokens + (n.ts_ms - f.ts_ms) / 1000 * 10.0) AS have FROM f JOIN num n ON n.vehicle_pid = f.vehicle_pid AND n.rn = f.rn + 1",
+    "SELECT vehicle_pid, count(*) AS requests, count(*) FILTER (allowed) AS allowed FROM f GROUP BY 1",
+)
+_SOC = "least(100.0, greatest(0.0, {s} + charge_kw / 60 * 5 - speed_kmh * 0.01))"
+ORACLE["gen_physics"] = _stepped(
+    "SELECT vehicle_pid, ts_ms, seq, charge_kw, speed_kmh, row_number() OVER (PARTITION BY vehicle_pid ORDER BY ts_ms, seq) AS rn FROM t",
+    _SOC.format(s="50.0") + "::DOUBLE AS soc",
+    _SOC.format(s="before"),
+    "SELECT f.vehicle_pid, n.rn, n.ts_ms, n.seq, f.soc AS before, n.charge_kw, n.speed_kmh FROM f JOIN num n ON n.vehicle_pid = f.vehicle_pid AND n.rn = f.rn + 1",
+    f"SELECT vehicle_pid, ts_ms, seq, {r('soc', 6)} AS soc FROM f",
+)
+
+# Two-state labelling: costs forward, then labels back along the cheapest predecessors.
+_FIT_M, _FIT_S = "CASE WHEN v < 5.0 THEN ((5.0 - v) / 5.0) * ((5.0 - v) / 5.0) ELSE 0.0 END", "least(1.0, (v / 5.0) * (v / 5.0))"
+ORACLE["dp_viterbi"] = f"""WITH RECURSIVE {TELEMETRY}, num AS (SELECT vehicle_pid, ts_ms // 86400000 AS day, ts_ms, seq, speed_kmh AS v, row_number() OVER w AS rn, count(*) OVER (PARTITION BY vehicle_pid, ts_ms // 86400000) AS n FROM t WINDOW w AS (PARTITION BY vehicle_pid, ts_ms // 86400000 ORDER BY ts_ms, seq)),
+g AS (SELECT vehicle_pid, day, rn, n, ({_FIT_M})::DOUBLE AS cm, ({_FIT_S})::DOUBLE AS cs, 0 AS fm, 0 AS fs FROM num WHERE rn = 1 UNION ALL
+  SELECT vehicle_pid, day, rn, n, CASE WHEN cm <= cs + 8 THEN cm ELSE cs + 8 END + {_FIT_M}, CASE WHEN cm + 8 <= cs THEN cm + 8 ELSE cs END + {_FIT_S}, CASE WHEN cm <= cs + 8 THEN 0 ELSE 1 END, CASE WHEN cm + 8 <= cs THEN 0 ELSE 1 END
+  FROM (SELECT g.vehicle_pid, g.day, x.rn, g.n, g.cm, g.cs, x.v FROM g JOIN num x ON x.vehicle_pid = g.vehicle_pid AND x.day = g.day AND x.rn = g.rn + 1)),
+b AS (SELECT vehicle_pid, day, rn, CASE WHEN cm <= cs THEN 0 ELSE 1 END AS s, fm, fs FROM g WHERE rn = n UNION ALL
+  SELECT g.vehicle_pid, g.day, g.rn, CASE WHEN b.s = 0 THEN b.fm ELSE b.fs END, g.fm, g.fs FROM b JOIN g ON g.vehicle_pid = b.vehicle_pid AND g.day = b.day AND g.rn = b.rn - 1)
+SELECT vehicle_pid, ts_ms, seq, CASE WHEN s = 0 THEN 'MOVING' ELSE 'STOPPED' END AS label FROM b JOIN num USING (vehicle_pid, day, rn)"""

@@ -68,7 +68,6 @@ def reordered(spark, sf):
 
 @query("st_reorder")
 def st_reorder(spark, sf):
-    """The buffer's order depends on each earlier decision; tests compare with a plain loop."""
     return reordered(spark, sf)
 
 
@@ -216,7 +215,6 @@ recursive("w_hysteresis_n", "z AS (WITH " + _hysteresis_sql().replace("SELECT ve
 
 @query("st_gps_filter")
 def st_gps_filter(spark, sf):
-    """Tests compare with a plain loop."""
     return order.gps_filtered(telemetry(spark, sf))
 
 
@@ -228,8 +226,7 @@ def st_watchlist(spark, sf):
 
 @query("st_trip_fsm")
 def st_trip_fsm(spark, sf):
-    """Tests compare with a plain loop and with scenarios."""
-    return trips(telemetry(spark, sf))
+    return trips(telemetry(spark, sf)).withColumn("fuel_l", rc(F.col("fuel_l")))
 
 
 @query("st_trip_fsm_py")
@@ -677,7 +674,7 @@ def gen_physics(spark, sf):
         return soc, [(row["vehicle_pid"], int(row["ts_ms"]), int(row["seq"]), soc)]
 
     t = telemetry(spark, sf).select("vehicle_pid", "ts_ms", "seq", "charge_kw", "speed_kmh")
-    return fold(t, "vehicle_pid", ["ts_ms", "seq"], step, "vehicle_pid string, ts_ms bigint, seq bigint, soc double")
+    return fold(t, "vehicle_pid", ["ts_ms", "seq"], step, "vehicle_pid string, ts_ms bigint, seq bigint, soc double").withColumn("soc", rc(F.col("soc"), 6))
 
 
 @query("q_live_status", f", {LATEST} SELECT {STATUS} AS status, count(*) AS n FROM l GROUP BY 1")
