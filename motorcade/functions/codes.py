@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from motorcade.functions.geo import let
+
 #: Letters and their numbers, weights by position, severities by code or by its first three characters.
 VIN_LETTERS = "ABCDEFGHJKLMNPRSTUVWXYZ"
 VIN_NUMBERS = "12345678123457923456789"
@@ -38,8 +40,12 @@ def vin_wellformed(vin: Column) -> Column:
 def vin_check_digit(vin: Column) -> Column:
     """Check digit of a 17-character VIN: the weighted sum modulo 11, X for 10."""
     digits = F.translate(vin_clean(vin), VIN_LETTERS, VIN_NUMBERS)
-    total = sum((F.substr(digits, F.lit(i + 1), F.lit(1)).try_cast("int") * w for i, w in enumerate(VIN_WEIGHTS) if w), F.lit(0))
-    return F.substr(F.lit("0123456789X"), total % 11 + 1, F.lit(1))
+
+    def digit(d: Column) -> Column:
+        total = sum((F.substr(d, F.lit(i + 1), F.lit(1)).try_cast("int") * w for i, w in enumerate(VIN_WEIGHTS) if w), F.lit(0))
+        return F.substr(F.lit("0123456789X"), total % 11 + 1, F.lit(1))
+
+    return let(digits, digit)
 
 
 def vin_valid(vin: Column, strict: bool = True) -> Column:

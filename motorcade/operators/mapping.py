@@ -124,6 +124,10 @@ class Registry:
         return spark.createDataFrame(rows, "oem string, schema_ver int, format string, state string, config string")
 
 
+#: Field of a parsed payload that is null unless the payload isn't JSON.
+BROKEN = "_broken"
+
+
 def _paths(mapping: dict) -> list[str]:
     return sorted({mapping["vin_field"], *(r["source"] for r in mapping["fields"].values())})
 
@@ -147,7 +151,7 @@ def parsed(mapping: dict, raw: Column) -> Column:
     ddl = _ddl(_paths(mapping))
     if mapping["format"] == "signal_list":
         ddl = ddl[:-1] + ",signals:array<struct<n:string,v:string>>>"
-    return F.from_json(raw, ddl)
+    return F.from_json(raw, ddl[:-1] + f",{BROKEN}:string>", {"columnNameOfCorruptRecord": BROKEN})
 
 
 def _source(parts: Column, mapping: dict, path: str) -> Column:

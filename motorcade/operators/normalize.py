@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motorcade.config import CLOCK_SKEW, VIN_WARN
 from motorcade.functions import codes, ids
-from motorcade.operators.mapping import TYPES, Registry, compiled, parsed
+from motorcade.operators.mapping import BROKEN, TYPES, Registry, compiled, parsed
 
 AHEAD_MS, BEHIND_MS = 10 * 60 * 1000, 7 * 24 * 3600 * 1000
 
@@ -43,7 +43,7 @@ def normalize(df: DataFrame, registry: DataFrame, mappings: Registry | None = No
     df = detected(df)
     raw, known = F.col("raw"), F.lit(False)
     kind = "struct<vin:string," + ",".join(f"{n}:{t}" for n, t in TYPES.items()) + ">"
-    fields, missing, parts = F.lit(None).cast(kind), F.lit(False), {}
+    fields, missing, parts, lines = F.lit(None).cast(kind), F.lit(False), {}, {}
     for oem in sorted({o for o, _ in mappings.active}):
         versions = mappings.versions(oem)
         is_oem = F.col("oem") == oem
@@ -52,10 +52,13 @@ def normalize(df: DataFrame, registry: DataFrame, mappings: Registry | None = No
             here = is_oem & ((F.col("schema_ver") == v) if v != versions[-1] else ~F.col("schema_ver").isin(versions[:-1]))
             mapping, name = mappings.lookup(oem, v), f"_p_{oem}_{v}"
             parts[name] = F.when(here, parsed(mapping, raw))
+            lines[name] = mapping["format"] == "delimited"
             struct, lacks = compiled(mapping, F.col(name))
             fields = F.when(here, struct.cast(kind)).otherwise(fields)
             missing = F.when(here, lacks).otherwise(missing)
-    is_json = F.when(F.col("oem") == "D", raw.contains("|")).otherwise(F.try_parse_json(raw).isNotNull() & raw.rlike(r"^\s*\{"))
+    # known formats were parsed already; any other payload is parsed only to tell whether it is JSON
+    whole = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(True) if is_line else F.col(n)[BROKEN].isNull()) for n, is_line in lines.items()], F.try_parse_json(raw).isNotNull())
+    is_json = F.when(F.col("oem") == "D", raw.contains("|")).otherwise(whole & F.ltrim(raw).startswith("{"))
     df = df.withColumns(parts)
     df = df.withColumn("_json", F.coalesce(is_json, F.lit(False))).withColumn("_known", F.coalesce(known, F.lit(False))).withColumn("_f", fields).withColumn("_missing", missing).drop(*parts)
     df = df.select("*", "_f.*").drop("_f")
