@@ -19,7 +19,7 @@ adds at most 1e-6.
 
 Edge cases: a text with fewer words than WIDTH is one shingle; null, empty or blank texts have no shingle and stand
 alone; equal sets are one class; rows that repeat an id and its text get the same result; a row without an id is in no
-component and kept; only the id and text columns are read; an empty table gives an empty result. Texts are handled in slices of whole documents of about 1 MB.
+component and kept; only the id and text columns are read; an empty table gives an empty result. Texts are handled in slices of whole documents of about 256 KB.
 """
 
 from __future__ import annotations

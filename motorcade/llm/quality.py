@@ -6,7 +6,7 @@ A document shorter than a guard isn't judged by that histogram. Repetition and l
 
 Edge cases: a null text has no words and fails the length rule; a null language adds to no reference but is judged
 like any other; without any reference only the base rules hold. Only id, text and language columns are read.
-Texts are handled in slices of about 1 MB of whole documents, so memory follows the longest text.
+Texts are handled in slices of whole documents of about 256 KB, so memory follows the longest text.
 """
 
 from __future__ import annotations
