@@ -26,6 +26,32 @@ def test_toxicity_grammar():
     assert g.clause("i will kill you") == [["kill+", 1.0, False, False]]
 
 
+def test_toxicity_table_is_the_composition():
+    """The table's marks are those of each part run alone."""
+    parts = [toxicity._near("neg", 2), toxicity._near("tgt", 1), toxicity._since("rep", 4), toxicity._meeting("thr", "tgt", 8)]
+    rng = np.random.default_rng(0)
+    state, alone = 0, [t.start for t in parts]
+    for i in rng.integers(0, len(toxicity.TERMINALS), 3000):
+        state, marks = toxicity.TABLE[state][i]
+        steps = [t.step(s, toxicity.TERMINALS[i]) for t, s in zip(parts, alone, strict=True)]
+        alone = [s for s, _ in steps]
+        assert marks == sum(m for _, m in steps)
+
+
+def test_toxicity_learns_clause_patterns(spark):
+    """The same words throughout: only threats at a target, and insults neither negated nor reported, are toxic."""
+    rng = np.random.default_rng(3)
+    names = [f"{a}{b}" for a in "lorem ipsum dolor amet tempor magna".split() for b in "abcdefgh"]
+    bad = ["i will kill you", "you idiot", "we hurt them", "you moron"]
+    good = ["we kill processes", "you are not an idiot", "she said moron", "hurt feelings", "they never kill you", "nobody said idiot"]
+    rows = [(i, " ".join(rng.choice(names, 6)) + ". " + (bad if i % 2 else good)[i // 2 % (4 if i % 2 else 6)] + ".", i % 2) for i in range(480)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    g = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id >= 120").select("doc_id", "toxic"))
+    got = toxicity.score(df.where("doc_id < 120"), g, keep=("toxic",)).collect()
+    assert [r.doc_id for r in got if (r.score >= toxicity.REJECT_AT) != (r.toxic == 1)] == []
+    assert g.threats[toxicity.TARGET] > 3.0 > g.threats[0] and g.gains[toxicity.NEGATION] < toxicity.NEGATED
+
+
 def test_toxicity_odd_rows(spark, odd, no_labels):
     g = toxicity.fit(odd, no_labels)
     got = toxicity.score(odd, g, keep=("score",) and ("lang",)).collect()
