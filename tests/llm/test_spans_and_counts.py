@@ -60,6 +60,21 @@ def test_pii_method_adds_confirmed_spans(spark):
     assert "iban:5:27" in got[1] and "iban" not in got[2] and "ssn:7:18" in got[3] and "ssn" not in got[4]
 
 
+def test_iban_ends_where_its_country_says(spark):
+    gb, de, no = "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"
+    xx = next(f"XX{c:02d}ABCD12345678901" for c in range(2, 99) if int("".join(str(int(ch, 36)) for ch in f"ABCD12345678901XX{c:02d}")) % 97 == 1)
+    texts = {
+        f"IBAN {gb} Please call": [gb], f"{de} BIC COBADEFF": [de], f"{de.replace(' ', '')} A bank": [de.replace(" ", "")], f"{no} 12 4": [no],
+        f"{de} {gb} {no}": [de, gb, no], f"AB12 {gb} 7": [gb], f"{xx} Bank": [xx], f"{xx} 77 X": [xx], f"{gb}": [gb], f"é😀 ({de})": [de], f"{gb}a {gb}9 x{gb}": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.pii_digest(df).collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        found = [x.split(":") for x in got[i].split(",") if x.startswith("iban")]
+        assert [t[int(a) : int(b)] for _, a, b in found] == want, t
+    assert pii.redact(df).where("doc_id = 0").first().text == "IBAN [IBAN] Please call"
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "to a@b.co and 1.2.3.4.", 21), (2, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in pii.redact(df).collect()}
