@@ -1,6 +1,6 @@
 """Personal data by patterns, checksums and context, in Spark SQL expressions only.
 
-Regular expressions propose spans; Luhn (cards) and mod-97 (IBANs) confirm them; words near a span raise its score.
+Regular expressions propose spans; Luhn (cards) and mod-97 (IBANs) confirm them; words within CONTEXT characters before or behind a span raise its score.
 Base kinds (email, ip, card, phone) that pass their checks always stay; further kinds stay at a score of 0.6 or more.
 
 Edge cases: a null text counts as empty, an empty text has no spans; offsets are code points, the end is exclusive;
@@ -118,6 +118,12 @@ def _valid(kind: str, s: Column) -> Column:
     }[kind]
 
 
+def _near(text: Column, x: Column) -> Column:
+    """The CONTEXT characters before a span and the CONTEXT behind it, whatever else was found there, in lower case."""
+    first = F.greatest(x["start"] - CONTEXT, F.lit(0))
+    return F.lower(F.concat_ws("\n", F.substr(text, first + 1, x["start"] - first), F.substr(text, x["end"] + 1, F.lit(CONTEXT))))
+
+
 def _found(text: Column, kind: str) -> Column:
     """Array of (start, kind number, end, score) of a kind's confirmed spans; matches and the pieces between give offsets."""
     rx = PATTERNS[kind]
@@ -125,19 +131,18 @@ def _found(text: Column, kind: str) -> Column:
     hits = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
     if kind in NEEDS:
         hits = F.when(F.contains(text, F.lit(NEEDS[kind])), hits).otherwise(F.array().cast("array<string>"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,s:string,near:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out"))
 
     def put(acc: Column, x: Column) -> Column:
         at = acc["pos"] + F.length(x["0"])
         end = at + F.length(F.coalesce(x["1"], F.lit("")))
-        item = F.struct(at.alias("start"), end.alias("end"), x["1"].alias("s"), F.lower(F.right(x["0"], F.lit(CONTEXT))).alias("near"))
+        item = F.struct(at.alias("start"), end.alias("end"), x["1"].alias("s"))
         return F.struct(end.alias("pos"), F.when(x["1"].isNotNull(), F.concat(acc["out"], F.array(item))).otherwise(acc["out"]).alias("out"))
 
     placed = F.aggregate(F.arrays_zip(F.split(text, rx, -1).alias("0"), F.col(f"_hits_{kind}").alias("1")), start, put, lambda a: a["out"])
     if kind == "iban":
         placed = _ibans(text, placed)
-    near = lambda x: F.when(x["near"].rlike(CONTEXT_WORDS[kind]), CONTEXT_GAIN).otherwise(0.0)
-    score = lambda x: F.least(F.lit(1.0), F.lit(SCORES[kind]) + near(x))
+    score = lambda x: F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(_near(text, x).rlike(CONTEXT_WORDS[kind]), CONTEXT_GAIN).otherwise(0.0))
     kept = lambda x: _valid(kind, x["s"]) & (F.lit(kind in BASE_KINDS) | (score(x) >= KEEP_AT))
     spans = F.transform(
         F.filter(placed, kept),

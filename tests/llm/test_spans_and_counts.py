@@ -75,6 +75,18 @@ def test_iban_ends_where_its_country_says(spark):
     assert pii.redact(df).where("doc_id = 0").first().text == "IBAN [IBAN] Please call"
 
 
+def test_context_on_both_sides(spark):
+    far = "x" * pii.CONTEXT
+    texts = {
+        "SSN 123-45-6789, 234-56-7890 and 345-67-8901": 3, "123-45-6789 is the social security number": 1, "123-45-6789, 234-56-7890: tax": 2,
+        f"ssn {far}123-45-6789": 0, f"123-45-6789{far} ssn": 0, f"ssn{far[3:]}123-45-6789": 1, f"123-45-6789{far[3:]}ssn": 1, "123-45-6789": 0, "é😀 123-45-6789 é SSN": 1,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans.count("ssn:") for r in pii.pii_digest(df).collect()}
+    assert got == dict(enumerate(texts.values()))
+    assert pii.redact(df).where("doc_id = 0").first().text == "SSN [SSN], [SSN] and [SSN]"
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "to a@b.co and 1.2.3.4.", 21), (2, None, None)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r for r in pii.redact(df).collect()}
