@@ -151,8 +151,9 @@ def search(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
     if index is None:
         return spark.createDataFrame([], schema)
     d, rotation = len(index.rotation), index.rotation
-    stored = written(assigned(rows, index, 1), "lists")
-    asked = written(assigned(rows.where(F.col("id") % every == 0), index, index.probes), "probes")
+    # distinct: rows that repeat an id and its vector stand once, else copies take the places of other rows in a block
+    stored = written(assigned(rows.distinct(), index, 1), "lists")
+    asked = written(assigned(rows.where(F.col("id") % every == 0).distinct(), index, index.probes), "probes")
     n_stored, n_asked = _blocks(stored), _blocks(asked)
     number = lambda n: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in n.items() for x in kv]), F.col("list")), F.lit(0)) if n else F.lit(0)
     other = lambda n: F.explode(F.when(number(n) > 0, F.sequence(F.lit(0), number(n) - 1)))
@@ -172,6 +173,6 @@ def search(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
 
     keys = ["list", "qb", "fb"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, id long, score double")
-    # distinct: rows that repeat an id and its vector stand once
+    # distinct: vectors of one id that are equally far stand once
     ranked = near.distinct().withColumn("rank", F.expr("row_number() over (partition by query_id order by score, id)"))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -133,6 +133,17 @@ def test_neighbours_odd_vectors_and_ties(spark):
     assert ann.search(e.limit(0)).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    """Copies of rows change nothing, be there few of all or many near a query."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(0, 1200, 20)]
+    want = {(q, i + 1, n) for q, near in exact(rows, 10).items() for i, (_, n) in enumerate(near)}
+    near = {n for q, i, n in want if i == 1}
+    e = spark.createDataFrame([r for r in rows for _ in range(30 if r[0] in near else 3)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(e).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_scan_gives_up_only_what_is_far():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 64))
