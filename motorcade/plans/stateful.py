@@ -435,8 +435,8 @@ def p_erasure(spark, sf):
     return sharing.erasure_report({"events": kept, "latest": sharing.erased(live.latest(t), gone)}, gone)
 
 
-def audit(spark, sf):
-    t = telemetry(spark, sf).where("event_id < 500")
+def audit(spark, sf, rows="event_id < 500"):
+    t = telemetry(spark, sf).where(rows)
     return t.select("tenant_id", "seq", F.concat_ws(",", "vehicle_pid", F.col("k").cast("string")).alias("payload"))
 
 
@@ -455,6 +455,20 @@ def q_audit(spark, sf):
     return sharing.verified_chain(sharing.chained(audit(spark, sf)))
 
 
+@query("p_audit_chain_all")
+def p_audit_chain_all(spark, sf):
+    """p_audit_chain stops where its SQL does; this chains all rows."""
+    return sharing.chained(audit(spark, sf, "true"))
+
+
+ORACLE["p_audit_chain_all"] = ORACLE["p_audit_chain"].replace(" WHERE event_id < 500", "")
+
+
+@query("q_audit_all", "SELECT tenant_id, count(*) AS entries, 0 AS broken FROM t GROUP BY 1")
+def q_audit_all(spark, sf):
+    return sharing.verified_chain(sharing.chained(audit(spark, sf, "true")))
+
+
 # request surface ---------------------------------------------------------------------------------
 
 
