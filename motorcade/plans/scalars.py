@@ -218,10 +218,19 @@ def _neighbours_sql() -> str:
     return f"SELECT event_id, array_to_string(list_sort([{', '.join(near)}]), ',') AS near FROM t WHERE event_id < 2000"
 
 
+def _neighbours(t):
+    return t.select("event_id", F.array_join(geo.geohash_neighbours(geo.geohash(F.expr(LAT), F.expr(LON), 6), 6), ",").alias("near"))
+
+
 @query("geo_neighbors", _neighbours_sql())
 def geo_neighbors(spark, sf):
-    t = telemetry(spark, sf).where("event_id < 2000")
-    return t.select("event_id", F.array_join(geo.geohash_neighbours(geo.geohash(F.expr(LAT), F.expr(LON), 6), 6), ",").alias("near"))
+    return _neighbours(telemetry(spark, sf).where("event_id < 2000"))
+
+
+@query("geo_neighbors_all", _neighbours_sql().replace(" WHERE event_id < 2000", ""))
+def geo_neighbors_all(spark, sf):
+    """geo_neighbors stops where its SQL does; this gives all rows."""
+    return _neighbours(telemetry(spark, sf))
 
 
 @query("geo_cover_bbox", f""", g AS (SELECT y, x FROM range(CAST(floor((13.0 + 90.0) / 180.0 * 4096) AS BIGINT), CAST(floor((13.1 + 90.0) / 180.0 * 4096) AS BIGINT) + 1) a(y), range(CAST(floor((80.2 + 180.0) / 360.0 * 8192) AS BIGINT), CAST(floor((80.4 + 180.0) / 360.0 * 8192) AS BIGINT) + 1) b(x))

@@ -37,3 +37,7 @@ def test_audit_chain_holds_all_rows(spark, duck):
     for r in sorted(QUERIES["p_audit_chain_all"](spark, MIDDLE).collect(), key=lambda r: (r.tenant_id, r.seq)):
         assert r.prev_hash == before.get(r.tenant_id, "0" * 64) and r.hash == sharing.link(r.prev_hash, r.payload)
         before[r.tenant_id] = r.hash
+
+
+def test_geo_neighbours_of_all_rows(spark, duck):
+    assert len(same(spark, duck, "geo_neighbors_all")) == duck.execute("select count(*) from events").fetchone()[0]
