@@ -276,3 +276,11 @@ def q_alert_stream(spark, sf):
 @query("q_page_after", "SELECT o_orderkey FROM orders WHERE o_orderkey < 500 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10", telemetry=False)
 def q_page_after(spark, sf):
     return paging.keyset_page(table(spark, sf, "orders").where("o_orderkey < 500"), "o_orderdate", "o_orderkey", 10).select("o_orderkey")
+
+
+@query("q_page_next", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10 OFFSET 10", telemetry=False)
+def q_page_next(spark, sf):
+    """The second page of all orders, behind the first one's last row."""
+    orders = table(spark, sf, "orders")
+    last = paging.keyset_page(orders, "o_orderdate", "o_orderkey", 10).select("o_orderdate", "o_orderkey").collect()[-1]
+    return paging.keyset_page(orders, "o_orderdate", "o_orderkey", 10, after=tuple(last)).select("o_orderkey")

@@ -508,3 +508,13 @@ def sink_dlq(spark, sf):
 
     dead = writers.dead_letters(rejected(normalize(payloads(spark, sf).where("event_id % 50 = 0"), registry(spark, sf))))
     return dead.groupBy("reason_code").agg(F.count("*").alias("n"))
+
+
+@query("sink_dlq_all", """SELECT count(*) AS n, reason_code FROM (SELECT CASE WHEN event_id % 50 = 0 THEN 'MALFORMED' WHEN event_id % 51 = 0 AND k % 6 <> 3 THEN 'UNKNOWN_OEM' WHEN CAST(vehicle_pid AS INTEGER) % 11 = 0 THEN 'UNKNOWN_VEHICLE' END AS reason_code FROM t) WHERE reason_code IS NOT NULL GROUP BY 2""")
+def sink_dlq_all(spark, sf):
+    """sink_dlq is given the broken payloads only, as its SQL says; this rejects from all payloads."""
+    from motorcade.operators.normalize import normalize, rejected
+    from motorcade.plans.scalars import payloads, registry
+
+    dead = writers.dead_letters(rejected(normalize(payloads(spark, sf), registry(spark, sf))))
+    return dead.groupBy("reason_code").agg(F.count("*").alias("n"))

@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from motorcade.operators import sharing
+from motorcade.plans import scalars
 from motorcade.registry import ORACLE, QUERIES
 from tests.test_oracle import ordered, plain
 
@@ -41,3 +43,17 @@ def test_audit_chain_holds_all_rows(spark, duck):
 
 def test_geo_neighbours_of_all_rows(spark, duck):
     assert len(same(spark, duck, "geo_neighbors_all")) == duck.execute("select count(*) from events").fetchone()[0]
+
+
+def test_dead_letters_of_all_payloads(spark, duck, monkeypatch):
+    """A row that is broken outside every fiftieth is seen."""
+    count = lambda: {r.reason_code: r.n for r in QUERIES["sink_dlq_all"](spark, MIDDLE).collect()}
+    same(spark, duck, "sink_dlq_all")
+    before, given = count(), scalars.payloads
+    broken = lambda spark, sf: given(spark, sf).withColumn("raw", F.when(F.col("event_id") == 7, "{").otherwise(F.col("raw")))
+    monkeypatch.setattr(scalars, "payloads", broken)
+    assert count()["MALFORMED"] == before["MALFORMED"] + 1
+
+
+def test_page_behind_another(spark, duck):
+    assert len(same(spark, duck, "q_page_next")) == 10
