@@ -1,24 +1,28 @@
 """Packing documents into token windows by Karmarkar-Karp multiway differencing.
 
-Full windows are cut from long documents at once. What is left of each document joins a block; differencing merges
-partial partitions of a block, the largest sums of one with the smallest of the other, into near-equal windows.
-Where cutting is allowed, what a window holds beyond its capacity is cut off and fills the slack of others, and a
-block's odd tail goes to sequences whose lengths are powers of two, which need no padding. Where it isn't, or where
-no slack is left, the window count rises until every window fits.
+Windows that a long document fills alone are cut from it at once. What is left of each document joins a block, whole.
+Differencing merges partial partitions of a block, the largest sums of one with the smallest of the other, into
+near-equal windows. Where the fullest exceeds the capacity the window count rises, as long as padding stays under
+MAX_PADDING of the block. What then still exceeds it is cut off its window's largest piece and goes, whole where
+it fits, to the windows with room. Without cutting, the window count rises until every window fits. A task's last
+block may be too small for a share of padding; there, full windows are cut and the odd tail goes to sequences whose
+lengths are powers of two, which need no padding.
 
 Each task packs the rows it reads, block by block, so no shuffle is needed and memory is bounded by BLOCK_TOKENS and
 the longest document. Sequence ids are the task's partition number and a running number, the same when a task is run
 again on the same rows.
 
-Edge cases: a null or empty text is the end id alone; repeated rows are packed once each; an empty table has no
-pieces; only the id and text columns are read.
+Edge cases: a null or empty text is the end id alone; runs of blanks of any length are encoded whole; repeated rows
+are packed once each; an empty table has no pieces; ids may have any type; only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +30,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from motorcade.llm.common import bounded
 
 CAPACITY = 1024
 END_ID = 0
-#: A block is packed when it has so many remainders or holds so many tokens.
+#: A block is packed when it has so many remainders and holds so many windows, or holds so many tokens.
 BLOCK = 1024
+BLOCK_WINDOWS = 128
 BLOCK_TOKENS = 2_000_000
+#: Share of a block's tokens up to which more windows are opened rather than pieces cut.
+MAX_PADDING = 0.01
+#: Blanks in a row from which the fast library's pattern engine, which keeps a step for each, is passed by.
+LONG_RUN = 100_000
+#: Fixed value: what a blank is to the pattern below.
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 #: Fixed value: how byte-level BPE cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -58,7 +70,16 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+        if len(text) < LONG_RUN:
+            return np.array(self.fast.encode_ordinary(text), np.uint32)
+        out, at = [], 0
+        for m in BLANKS.finditer(text):
+            start, end = m.span()
+            end -= end < len(text)  # the last blank belongs to what follows it
+            out += self.fast.encode_ordinary(text[at:start])
+            out += self.fast._encode_single_piece(text[start:end])
+            at = end
+        return np.array(out + self.fast.encode_ordinary(text[at:]), np.uint32)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -128,14 +149,46 @@ def pack_whole(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack_cut(sizes: list[int], capacity: int) -> list[list[Piece]]:
-    """Windows filled exactly: differencing into as many windows as are full, overflow cut off into slack, the odd
-    tail in lengths that are powers of two."""
+    """Windows of pieces: whole items where differencing fits them with little padding, else what exceeds a window is
+    cut off and fills others."""
     total = sum(sizes)
-    k, tail = divmod(total, capacity)
-    groups = differencing(sizes, k) if k else [list(range(len(sizes)))]
+    least, most = -(-total // capacity), int(total / capacity / (1 - MAX_PADDING))
+    if least > most:
+        return pack_full(sizes, capacity)
+    for k in dict.fromkeys((least, most)):
+        groups = differencing(sizes, k)
+        if max(sum(sizes[i] for i in g) for g in groups) <= capacity:
+            break
+    windows, over, room = [], [], []
+    for n, g in enumerate(groups):
+        held = sorted(((i, 0, sizes[i]) for i in g), key=lambda p: p[2])
+        more = sum(p[2] for p in held) - capacity
+        if more > 0:
+            i, _, size = held.pop()
+            held.append((i, 0, size - more))
+            over.append((i, size - more, more))
+        elif more < 0:
+            room.append((-more, n))
+        windows.append(held)
+    room.sort()
+    for i, at, size in sorted(over, key=lambda p: -p[2]):
+        while size:
+            place = min(bisect_left(room, (size, -1)), len(room) - 1)
+            free, n = room.pop(place)
+            took = min(free, size)
+            windows[n].append((i, at, took))
+            at, size = at + took, size - took
+            if free > took:
+                insort(room, (free - took, n))
+    return windows
+
+
+def pack_full(sizes: list[int], capacity: int) -> list[list[Piece]]:
+    """Windows filled exactly and an odd tail in lengths that are powers of two."""
+    k, tail = divmod(sum(sizes), capacity)
     windows: list[list[Piece]] = []
     spare: list[Piece] = []
-    for g in groups:
+    for g in differencing(sizes, k) if k else [list(range(len(sizes)))]:
         room, held = capacity if k else 0, []
         for i in sorted(g, key=lambda i: -sizes[i]):
             take = min(room, sizes[i])
@@ -167,9 +220,9 @@ def pack_cut(sizes: list[int], capacity: int) -> list[list[Piece]]:
 
 def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", cut: bool = True, with_ids: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
-    schema = f"{id_col} {dict(df.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
+    schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[dict(df.dtypes)[id_col]]
+    id_type = to_arrow_type(df.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -211,7 +264,7 @@ def pack(df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: s
                 if whole < len(ids):
                     block.append((doc, ids[whole:].copy(), whole, len(ids)))
                     held += len(ids) - whole
-                if len(block) >= BLOCK or held >= BLOCK_TOKENS:
+                if len(block) >= BLOCK and held >= BLOCK_WINDOWS * capacity or held >= BLOCK_TOKENS:
                     close()
                 if len(rows) >= 20_000:
                     yield flush()
