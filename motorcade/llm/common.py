@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, or a temporary one set here where it is unset (tests)."""
+    """Folder all executors share: spark.checkpoint.dir. Where it is unset a temporary one is set, if driver and executors
+    are one machine (tests); on a cluster that would lose data."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = "file://" + tempfile.mkdtemp(prefix="motorcade-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d

@@ -4,14 +4,15 @@ A classifier fitted on the labelled table predicts a document's domain posterior
 measures (words, lines, capitals, digits, symbols, marks). A document's tokens (words) times its posteriors are its
 expected tokens by domain. Projected-gradient least squares then fits one rate per document, at least `least`, whose
 expected domain totals match the targets: x <- max(least, x - A'H(Ax - t)), where H, the inverse of AA', makes one the
-right step size. Each step sends the driver one total per domain; rates stay distributed.
+right step size. Each step sends the driver one total per domain; rates stay distributed. Steps go on until totals
+meet the targets or stand still; what is missed then, which rates that may not fall can't mend, is a result.
 
 Domains are the labelled table's classes, quality and toxicity together (q1t0 and so on).
 
 Edge cases: a null or empty text has no tokens and its rate stays the one it starts from, 1 or `least`; documents without labels get
 posteriors like any other; without labels there is one domain, `all`; a domain that expects no tokens can't be
 weighted and is left out of the targets; repeated rows are repeated; only id and text (and the labels' three
-columns) are read.
+columns) are read; columns to keep travel in one struct, so their names never clash.
 """
 
 from __future__ import annotations
@@ -31,28 +32,29 @@ BINS = 16
 SMOOTH = 1.0
 #: Targets are the domains' own shares to this power, so that rare domains gain.
 TEMPER = 0.8
-STEPS = 40
+#: Totals count as met within this share of the greatest target, and as standing still when a step moves them by less than a tenth of it.
 TOLERANCE = 1e-3
 #: Steps held in one plan before rates are written out.
 CHAIN = 8
 
 
 def measured(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, kept (the `keep` columns, if any), n_tokens and bins."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.select(*dict.fromkeys([id_col, *keep]), text.alias("_text"))
-    df = df.withColumn("n_tokens", F.regexp_count("_text", F.lit(WORD)).cast("long"))
+    df = df.select(F.col(id_col).alias("id"), *([F.struct(*keep).alias("kept")] if keep else []), text.alias("text"))
+    df = df.withColumn("n_tokens", F.regexp_count("text", F.lit(WORD)).cast("long"))
     words = F.greatest(F.col("n_tokens"), F.lit(1))
     bins = [F.least(F.lit(BINS - 1), F.floor(F.log2(F.col("n_tokens") + 1)))]
-    bins += [F.least(F.lit(BINS - 1), F.floor(F.log2(1 + 1000 * F.regexp_count("_text", F.lit(rx)) / words))) for rx in MEASURES.values()]
-    return df.withColumn("bins", F.array(*[b.cast("int") for b in bins])).drop("_text")
+    bins += [F.least(F.lit(BINS - 1), F.floor(F.log2(1 + 1000 * F.regexp_count("text", F.lit(rx)) / words))) for rx in MEASURES.values()]
+    return df.withColumn("bins", F.array(*[b.cast("int") for b in bins])).drop("text")
 
 
-def domains(rows: DataFrame, labels: DataFrame, id_col: str) -> dict[str, tuple[float, list[list[float]]]]:
+def domains(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> dict[str, tuple[float, list[list[float]]]]:
     """Log prior and log likelihoods by measure and bin of each domain; at most classes times measures times bins rows come to the driver."""
     ok = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
     name = F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string"))
-    named = ok.select(F.col(id_col), name.alias("domain")).distinct()
-    counts = rows.select(id_col, "bins").join(named, id_col).select("domain", F.posexplode("bins").alias("m", "bin"))
+    named = ok.select(F.col(id_col).alias("id"), name.alias("domain")).distinct()
+    counts = rows.select("id", "bins").join(named, "id").select("domain", F.posexplode("bins").alias("m", "bin"))
     got = counts.groupBy("domain", "m", "bin").agg(F.count("*").alias("n")).collect()
     n = {}
     for r in got:
@@ -79,7 +81,8 @@ def posteriors(model: dict) -> Column:
 def mix(
     docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, grow: bool = False, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The id, any `keep` columns, n_tokens, posteriors (array, by domain name), and rate.
+    """The id, kept (a struct of the `keep` columns, if any), n_tokens, posteriors (by domain name), rate, and missed, the
+    greatest distance of a domain's total from its target as a share of the greatest target.
 
     targets: a weight for each domain; by default its share to the power TEMPER. The targets' sum is the corpus's own
     tokens or, with `grow`, the least that shrinks no domain."""
@@ -94,9 +97,14 @@ def mix(
     first = table.agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(expected)], *[F.sum(expected[i] * expected[j]).alias(f"g{i}_{j}") for i in k for j in k if i <= j]).first()
     own = np.array([first[f"s{i}"] or 0.0 for i in k])
     gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k])
-    named = lambda t: t.withColumn("posteriors", F.map_from_arrays(F.array(*[F.lit(x) for x in names]), F.col("p"))).drop("p")
+
+
+    def named(t: DataFrame, missed: float) -> DataFrame:
+        by_name = F.map_from_arrays(F.array(*[F.lit(x) for x in names]), F.col("p"))
+        return t.select(F.col("id").alias(id_col), *(["kept"] if keep else []), "n_tokens", by_name.alias("posteriors"), "rate", F.lit(missed).alias("missed"))
+
     if own.sum() <= 0:
-        return named(table)
+        return named(table, 0.0)
     weight = np.array([targets.get(x, 0.0) for x in names]) if targets else (own / own.sum()) ** TEMPER
     weight = np.where(own > 0, weight, 0)
     weight /= weight.sum()
@@ -105,9 +113,7 @@ def mix(
     metric = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(len(names)))
     now, moves = own * max(1.0, least), []
     rate = F.col("rate")
-    for _ in range(STEPS):
-        if np.abs(now - goal).max() <= TOLERANCE * goal.max():
-            break
+    while np.abs(now - goal).max() > TOLERANCE * goal.max():
         push = metric @ (now - goal)
         change = sum((x * F.lit(float(v)) for x, v in zip(expected, push, strict=True)), F.lit(0.0))
         rate = F.greatest(F.lit(float(least)), rate - change)
@@ -118,9 +124,9 @@ def mix(
             table, rate, moves = new, F.col("rate"), []
         got = table.select(*[c for c in ("n_tokens", "p")], rate.alias("rate")).agg(*[F.sum(x * F.col("rate")).alias(f"s{i}") for i, x in enumerate(expected)]).first()
         before, now = now, np.array([got[f"s{i}"] or 0.0 for i in k])
-        if np.abs(now - before).max() <= TOLERANCE * goal.max():  # bounded rates can't come nearer
+        if np.abs(now - before).max() <= 0.1 * TOLERANCE * goal.max():  # bounded rates can't come nearer
             break
-    return named(table.withColumn("rate", rate))
+    return named(table.withColumn("rate", rate), float(np.abs(now - goal).max() / goal.max()))
 
 
 def copies(id_col: str = "doc_id") -> Column:

@@ -11,15 +11,20 @@ Buckets that still hold members of different components go on. Those with few me
 still apart. The members of larger ones, which share a passage or an original without being alike, get an exact way:
 their shingles are counted, and since sets that reach the threshold share one of their rarest shingles, at a place
 that leaves enough to overlap, only such pairs of different components become candidates. Of a shingle's members those
-of its main component aren't compared with each other. So no link between components is lost. Rows are spread over
-tasks by joins that Spark can split, and labels spread by star contraction in tables.
+of its main component aren't compared with each other, and a shingle of more than HOT members is split by set size: a
+member at a late place of its order asks only the members whose sizes still allow the overlap. So no link between
+components is lost. Rows are spread over tasks by joins that Spark can split, and labels spread by star contraction in
+tables.
+
+Equality of words, shingles and sets is that of 64-bit hashes (two for sets); links are confirmed on the full sets.
 
 With 60 bands of 8 a pair at a similarity of 0.8 shares no band with probability 2e-5, one at 0.85 with 5e-9; MISS
 adds at most 1e-6.
 
 Edge cases: a text with fewer words than WIDTH is one shingle; null, empty or blank texts have no shingle and stand
-alone; equal sets are one class; rows that repeat an id and its text get the same result; a row without an id is in no
-component and kept; only the id and text columns are read; an empty table gives an empty result. Texts are handled in slices of whole documents of about 256 KB.
+alone; equal sets are one class; rows that repeat an id and its text get the same result; rows of one id with different
+texts are grouped each by its own text, and where such an id stands for a class it is compared by the text of smallest
+hash; a row without an id is in no component and kept; only the id and text columns are read; an empty table gives an empty result. Texts are handled in slices of whole documents of about 256 KB.
 """
 
 from __future__ import annotations
@@ -41,6 +46,9 @@ STEP = 40
 MISS = 1e-6
 #: A bucket with at most so many uncompared members compares those that are still apart.
 SMALL = 32
+#: A shingle with more members than this is split by set size, in steps of 1.1 %.
+HOT = 64
+SIZE_STEPS = 64
 
 _RNG = np.random.default_rng(20240229)
 _MUL = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -87,7 +95,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n (set size), fp1 and fp2 (128 bits of the set), sig (8 bits of each MinHash), bands."""
+    """id, n (set size), fp1 and fp2 (128 bits of the set), sig (8 bits of each MinHash), bands, h (hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,12 +110,13 @@ def signatures(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
                 fp1 = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 fp2 = np.array([np.bitwise_xor.reduce(K.mix(s + np.uint64(77))) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp1), pa.array(fp2), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["id", "n", "fp1", "fp2", "sig", "bands"],
+                    [b.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp1), pa.array(fp2), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64())), b.column(2).slice(lo, hi - lo)],
+                    ["id", "n", "fp1", "fp2", "sig", "bands", "h"],
                 )
 
-    rows = bounded(df).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, fp1 long, fp2 long, sig binary, bands array<long>")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = bounded(df).select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    return rows.mapInArrow(run, "id long, n long, fp1 long, fp2 long, sig binary, bands array<long>, h long")
 
 
 def least_matches(threshold: float, miss: float) -> list[int]:
@@ -248,10 +257,13 @@ def _linked(members: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataF
     # how many rows of other members each representative meets over all its buckets
     met = members.groupBy("rep").agg(F.sum("size").alias("met")).join(classes.select("rep", "n"), "rep")
     met = written(met, "met")
-    sigs = written(sigs.select("id", "sig").join(met.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "met-signatures")
-    docs = written(docs.join(met.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "met-texts")
+    ids = met.select(F.col("rep").alias("id")).distinct()
+    one = lambda t, c: t.join(ids, "id", "left_semi").groupBy("id").agg(F.min_by(c, "h").alias(c))
+    sigs = written(one(sigs.where("n > 0").select("id", "sig", "h"), "sig"), "met-signatures")
+    docs = written(one(docs.withColumn("h", F.xxhash64("text")), "text"), "met-texts")
     members = written(members.select("bucket", "rep").join(met, "rep"), "met-members")
     labels: DataFrame | None = None
+    made: list[DataFrame] = []
 
     def take(pairs: DataFrame) -> None:
         """Verify candidates: first each member's partner of smallest id, then those that are still in other components."""
@@ -277,13 +289,22 @@ def _linked(members: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataF
         needed = F.ceil(F.col("n") * percent / 100)
         prefix = rows_k.withColumn("place", place).where((F.col("place") <= F.col("n") - needed) & (F.col("k") > 1))
         prefix = written(prefix.select("shingle", "id", "n", "c", (F.col("n") - F.col("place")).alias("most")), "prefixes")
-        main = prefix.groupBy("shingle", "c").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        main = written(main.select("shingle", "main"), "main-components")
-        x = prefix.join(main, "shingle").where("c != main").select("shingle", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("most").alias("ma"))
-        y = prefix.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("most").alias("mb"))
+        parts = prefix.groupBy("shingle", "c").agg(F.count("*").alias("k"))
+        main = parts.groupBy("shingle").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("held")).where("parts > 1")
+        main = written(main.select("shingle", "main", (F.col("held") > HOT).alias("hot")), "main-components")
+        x = prefix.join(main, "shingle").where("c != main").select("shingle", "hot", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("most").alias("ma"))
+        y = prefix.join(main, "shingle").select("shingle", "hot", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("most").alias("mb"))
+        step = lambda n: F.floor(F.log2(n) * SIZE_STEPS).cast("int")
+        # sizes that leave enough to overlap: most >= (na + nb) * percent / (100 + percent), and nb near na
+        fewest = F.ceil(F.col("na") * percent / 100)
+        largest = F.least(F.floor(F.col("ma") * (100 + percent) / percent) - F.col("na"), F.floor(F.col("na") * 100 / percent))
+        asked = x.where("hot").where(largest >= fewest).withColumn("size", F.explode(F.sequence(step(fewest), step(largest))))
         most = F.least("ma", "mb")
-        apart = x.join(y, "shingle").where((F.col("ca") != F.col("cb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)))
-        return apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        enough = (F.col("ca") != F.col("cb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)) & near(F.col("na"), F.col("nb"))
+        cold = x.where("not hot").join(y.where("not hot"), "shingle").where(enough)
+        hot = asked.join(y.where("hot").withColumn("size", step(F.col("nb"))), ["shingle", "size"]).where(enough)
+        made.extend((big, rows, prefix, main))
+        return cold.select("a", "b").unionByName(hot.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     best = F.struct("met", (-F.col("rep")).alias("neg"), F.col("n"))
     pivots = members.groupBy("bucket").agg(F.max(best).alias("p")).select("bucket", (-F.col("p.neg")).alias("p"), F.col("p.n").alias("pn"))
@@ -300,11 +321,14 @@ def _linked(members: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataF
         dropped(now)
         if large:
             take(prefix_pairs(new))
+            made.append(new)
             rest = new.where(F.col("left") <= SMALL)
             continue
         x = new.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
         y = new.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
         take(x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("na"), F.col("nb"))).select("a", "b"))
+        dropped(new)
+    dropped(met, sigs, docs, members, pivots, *made)
     return labels
 
 

@@ -163,12 +163,15 @@ def pack_cut(sizes: list[int], capacity: int) -> list[list[Piece]]:
     for n, g in enumerate(groups):
         held = sorted(((i, 0, sizes[i]) for i in g), key=lambda p: p[2])
         more = sum(p[2] for p in held) - capacity
-        if more > 0:
-            i, _, size = held.pop()
-            held.append((i, 0, size - more))
-            over.append((i, size - more, more))
-        elif more < 0:
+        if more < 0:
             room.append((-more, n))
+        while more > 0:
+            i, _, size = held.pop()
+            cut = min(size, more)
+            over.append((i, size - cut, cut))
+            more -= cut
+            if cut < size:
+                held.append((i, 0, size - cut))
         windows.append(held)
     room.sort()
     for i, at, size in sorted(over, key=lambda p: -p[2]):

@@ -21,7 +21,7 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixed.select("doc_id", "n_tokens", F.map_entries("posteriors").alias("posteriors"), "rate")
+    return mixed.select("doc_id", "n_tokens", F.map_entries("posteriors").alias("posteriors"), "rate", "missed")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

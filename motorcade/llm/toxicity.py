@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -350,16 +351,17 @@ def ridge_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: np.ndarra
 
 
 def score(df: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The id, any `keep` columns and `score`, 0 to 1."""
+    """The id, kept (a struct of the `keep` columns, if any) and score, 0 to 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = grammar.compiled()
         for b in batches:
-            scores = [grammar.score(a, t.as_py() or "") for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(cols)], pa.array(scores, pa.float64())], [*cols, "score"])
-
-    cols = [id_col, *keep]
-    sent = list(dict.fromkeys([*cols, text_col]))
-    at = sent.index(text_col)
-    schema = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in cols) + ", score double"
-    return bounded(df).select(*sent).mapInArrow(run, schema)
+            text = pc.struct_field(b.column(1), text_col) if text_col in keep else b.column(1)
+            scores = [grammar.score(a, t.as_py() or "") for t in text]
+            yield pa.RecordBatch.from_arrays([b.column(0), *([b.column("kept")] if keep else []), pa.array(scores, pa.float64())], names)
+
+    names = [id_col, *(["kept"] if keep else []), "score"]
+    sent = bounded(df).select(F.col(id_col).alias("id"), *([] if text_col in keep else [F.col(text_col).alias("text")]), *([F.struct(*keep).alias("kept")] if keep else []))
+    kinds = dict(sent.dtypes)
+    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, [kinds["id"], *([kinds["kept"]] if keep else []), "double"], strict=True))
+    return sent.mapInArrow(run, schema)

@@ -48,13 +48,13 @@ def test_toxicity_learns_clause_patterns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     g = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id >= 120").select("doc_id", "toxic"))
     got = toxicity.score(df.where("doc_id < 120"), g, keep=("toxic",)).collect()
-    assert [r.doc_id for r in got if (r.score >= toxicity.REJECT_AT) != (r.toxic == 1)] == []
+    assert [r.doc_id for r in got if (r.score >= toxicity.REJECT_AT) != (r.kept.toxic == 1)] == []
     assert g.threats[toxicity.TARGET] > 3.0 > g.threats[0] and g.gains[toxicity.NEGATION] < toxicity.NEGATED
 
 
 def test_toxicity_odd_rows(spark, odd, no_labels):
     g = toxicity.fit(odd, no_labels)
-    got = toxicity.score(odd, g, keep=("score",) and ("lang",)).collect()
+    got = toxicity.score(odd, g, keep=("score", "lang", "text")).collect()
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert {r.doc_id for r in got if r.score >= 0.7} == {8}
     assert toxicity.score(odd.limit(0), g).count() == 0
@@ -169,7 +169,7 @@ def test_mixing_meets_targets(spark):
 
 
 def test_mixing_odd_rows(spark, odd, no_labels):
-    got = mixing.mix(odd, no_labels, least=1.0, grow=True, keep=("text", "rate") and ("text",)).collect()
+    got = mixing.mix(odd, no_labels, least=1.0, grow=True, keep=("text", "rate", "p", "bins")).collect()
     assert len(got) == odd.count() and all(r.rate >= 1 for r in got)
     some = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (8, 0, 1), (6, None, 0)], "doc_id long, quality int, toxic int")
     assert mixing.mix(odd, some).count() == odd.count()
