@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the columns
 of documents. run() writes every stage's result to the shared folder and reads it back.
+
+Edge cases: nulls in any column, empty and very long texts are handled as each operator states; a document with a null
+text is kept by all stages and packed as one end id; repeated rows go through all stages each; a row without an id is no
+near-duplicate of another; further columns of documents, whatever their names, stay; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -21,14 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the rejection threshold."""
     labels = table(spark, sf_dir, "labels").where(id_crc("doc_id") % HELD_OUT[0] != HELD_OUT[1])
     grammar = toxicity.fit(docs, labels)
-    scored = toxicity.score(docs, grammar, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where(F.col("score") < toxicity.REJECT_AT).select(*docs.columns)
+    scored = toxicity.score(docs, grammar, keep=tuple(docs.columns))
+    return scored.where(F.col("score") < toxicity.REJECT_AT).select("kept.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
-    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    stays = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    return rows.join(stays, rows["doc.doc_id"].eqNullSafe(stays["doc_id"]), "left_semi").select("doc.*")
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +43,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their rates; no domain shrinks and each document stays at least once."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), least=1.0, grow=True, keep=rest)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), mixing.copies()))).select(*docs.columns)
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), least=1.0, grow=True, keep=tuple(docs.columns))
+    return mixed.select("kept", F.explode(F.sequence(F.lit(1), mixing.copies())).alias("copy")).select("kept.*")
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
