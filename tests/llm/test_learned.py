@@ -144,6 +144,35 @@ def test_neighbours_of_repeated_rows(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_neighbours_of_ids_with_two_vectors(spark):
+    """An id is found once, by its nearest vector, and asks with each of its vectors."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in (*range(0, 900, 20), *range(0, 900, 20))]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(e).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 900, 100):
+        best = {}
+        for i, v in rows:
+            for j, u in rows:
+                if j == q and i != q:
+                    best[i] = min(best.get(i, np.inf), float(np.linalg.norm(np.subtract(u, v))))
+        assert got[q] == [i for _, i in sorted((d, i) for i, d in best.items())[:10]]
+
+
+def test_probes_follow_the_vectors():
+    """Clustered vectors need a small share of the lists, and a smaller one of more vectors."""
+    shares = []
+    for n in (2000, 20_000):
+        rng = np.random.default_rng(2)
+        lists = int(n**0.5)
+        x = 20 * rng.standard_normal((lists, 16))[rng.integers(0, lists, n)] + rng.standard_normal((n, 16))
+        centres = x[rng.choice(n, lists, replace=False)]
+        shares.append(ann._probes(x, centres, 10, rng) / lists)
+    assert shares[1] < shares[0] and shares[0] < 0.5
+
+
 def test_scan_gives_up_only_what_is_far():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((3000, 64))
