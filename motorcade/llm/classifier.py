@@ -1,13 +1,14 @@
 """Quality classifier by ordinal cumulative-link regression.
 
-Graded ratings 0 to 3 come from two labels: 2 * quality + (1 - toxic). One weight vector over hashed text features is
+Graded ratings 0 to 3 come from two labels: 2 * quality + (1 - toxic), where any quality or toxic above 0 counts as 1. One weight vector over hashed text features is
 shared by all grades, and ordered thresholds cut its score: P(grade > k) = logistic(score - threshold k). The expected
 grade and the tail probability P(grade >= GOOD) are the results.
 
 Features are means over a text's words: hashed words, word shapes (letters, digits, case, marks, symbols), and bins of
 the share of different words and of the length. Sums over whole texts, so memory follows the longest text.
 
-The fit reads at most MAX_FIT labelled rows, those of smallest hash of the id.
+The fit reads at most MAX_FIT labelled rows, those of smallest hash of the id, whose feature sums, at most some
+thousands for each, come to the driver; the likelihood is climbed by L-BFGS until its slope is TOLERANCE.
 
 Edge cases: a null, empty or blank text has the features of length 0 only; without labels, or with one grade, the
 thresholds follow the counts alone; rows with a null label aren't learnt from; repeated rows are rated alike; only
@@ -36,7 +37,7 @@ GRADES = 4
 GOOD = 2
 #: Tail probability under which a document isn't kept.
 KEEP_AT = 0.1
-STEPS = 300
+TOLERANCE = 1e-5
 RIDGE = 2e-4
 SHAPE_GAIN, WORD_GAIN, BIN_GAIN = 4.0, 8.0, 1.0
 
@@ -75,7 +76,7 @@ class OrdinalModel:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_FIT) -> OrdinalModel:
     good = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-    rated = good.groupBy(id_col).agg(F.max(F.col("quality") * 2 + 1 - F.col("toxic")).cast("int").alias("grade"))
+    rated = good.groupBy(id_col).agg(F.max(F.when(F.col("quality") > 0, 2).otherwise(0) + F.when(F.col("toxic") > 0, 0).otherwise(1)).cast("int").alias("grade"))
     picked = written(rated.orderBy(F.xxhash64(id_col), id_col).limit(most), "rated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,30 +107,58 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def thresholds(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds from a first one and logarithms of gaps."""
+    return np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
+
+
+def loss(x: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with ridge, and its gradient, at weights followed by free thresholds."""
+    n, w, free = len(y), x[:SIZE], x[SIZE:]
+    t = thresholds(free)
+    s = np.bincount(row, value * w[feature], minlength=n)
+    above = _logistic(s[:, None] - t)  # P(grade > k)
+    full = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
+    p = np.maximum(full[np.arange(n), y] - full[np.arange(n), y + 1], 1e-12)
+    slope = np.hstack([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))])
+    ds = -(slope[np.arange(n), y] - slope[np.arange(n), y + 1]) / p / n
+    dt = np.array([((y == k + 1) * slope[:, k + 1] / p - (y == k) * slope[:, k + 1] / p).sum() / n for k in range(GRADES - 1)])
+    dfree = [dt.sum(), *[dt[k + 1 :].sum() * np.exp(free[k + 1]) for k in range(GRADES - 2)]]
+    grad = np.concatenate([np.bincount(feature, value * ds[row], minlength=SIZE) + RIDGE * w, dfree])
+    return float(-np.log(p).mean() + RIDGE / 2 * w @ w), grad
+
+
 def train(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray) -> OrdinalModel:
-    """Maximum likelihood with ridge by Adam; thresholds stay ordered as a first one and logarithms of gaps."""
+    """Maximum likelihood with ridge, from thresholds that follow the counts."""
     n = len(y)
     share = np.clip([(y > k).mean() for k in range(GRADES - 1)], 0.5 / (n + 1), 1 - 0.5 / (n + 1))
     cut = -np.log(share / (1 - share))
-    free = np.concatenate([[cut[0]], np.log(np.maximum(np.diff(cut), 1e-2))])
-    w = np.zeros(SIZE)
-    m, v = np.zeros(SIZE + GRADES - 1), np.zeros(SIZE + GRADES - 1)
-    for step in range(1, STEPS + 1):
-        t = np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
-        s = np.bincount(row, value * w[feature], minlength=n)
-        above = _logistic(s[:, None] - t)  # P(grade > k)
-        full = np.hstack([np.ones((n, 1)), above, np.zeros((n, 1))])
-        p = np.maximum(full[np.arange(n), y] - full[np.arange(n), y + 1], 1e-9)
-        slope = np.hstack([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))])
-        hi, lo = slope[np.arange(n), y], slope[np.arange(n), y + 1]
-        ds = -(hi - lo) / p / n
-        dt = np.array([((y == k + 1) * slope[:, k + 1] / p - (y == k) * slope[:, k + 1] / p).sum() / n for k in range(GRADES - 1)])
-        dfree = np.concatenate([[dt.sum()], [dt[k + 1 :].sum() * np.exp(free[k + 1]) for k in range(GRADES - 2)]])
-        grad = np.concatenate([np.bincount(feature, value * ds[row], minlength=SIZE) + RIDGE * w, dfree])
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, free = w - move[:SIZE], free - move[SIZE:]
-    return OrdinalModel(w, np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))]))
+    x = np.concatenate([np.zeros(SIZE), [cut[0]], np.log(np.maximum(np.diff(cut), 1e-2))])
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    now, grad = loss(x, row, feature, value, y)
+    while np.abs(grad).max() > TOLERANCE:
+        way, kept = grad.copy(), []
+        for s, g in reversed(pairs):
+            kept.append((s @ way) / (s @ g))
+            way -= kept[-1] * g
+        if pairs:
+            s, g = pairs[-1]
+            way *= (s @ g) / (g @ g)
+        for (s, g), a in zip(pairs, reversed(kept), strict=True):
+            way += (a - (g @ way) / (s @ g)) * s
+        size = 1.0 if pairs else min(1.0, 1 / np.abs(grad).max())
+        while True:
+            new, slope = loss(x - size * way, row, feature, value, y)
+            if new <= now - 1e-4 * size * (way @ grad) or size < 1e-8:
+                break
+            size /= 2
+        step, turn = -size * way, slope - grad
+        if size < 1e-8 or now - new <= 1e-10 * abs(now):  # as far as rounding lets it go
+            break
+        if step @ turn > 1e-12:
+            pairs = [*pairs[-9:], (step, turn)]
+        x, now, grad = x + step, new, slope
+    return OrdinalModel(x[:SIZE], thresholds(x[SIZE:]))
 
 
 def rate(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence.
 
 A document's character-class and common-word histograms are compared with language references by Jensen-Shannon
-distance (base 2, so 0 to 1); the nearest language counts. References are sums over all rows of each language.
+distance (base 2, so 0 to 1); the nearest language counts. References are sums over all rows of each language that
+holds at least MIN_SHARE of all words, so there are at most 1 / MIN_SHARE of them, whatever the column holds.
 A document shorter than a guard isn't judged by that histogram. Repetition and length rules reject first.
 
 Edge cases: a null text has no words and fails the length rule; a null language adds to no reference but is judged
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motorcade.llm import kernels as K
-from motorcade.llm.common import bounded
+from motorcade.llm.common import bounded, dropped, written
 
 #: Fixed word lists: common words of each language.
 COMMON_WORDS = (
@@ -34,6 +35,8 @@ SYMBOLS = b"#*$%&|<>"
 #: Guards: fewer characters or words than these aren't judged by the class or word histogram.
 MIN_CHARS = 400
 MIN_WORDS = 100
+#: Share of all words that a language needs to be a reference.
+MIN_SHARE = 0.001
 #: Distances to the nearest language above which a document is rejected.
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.33
@@ -113,8 +116,7 @@ def base_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[int], list[int]]]:
-    """Histograms of each language over all its rows. Tasks send one row per language, so the result is bounded by the
-    number of languages."""
+    """Histograms over all its rows of each language with MIN_SHARE of all words. A task sends one row per language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -130,8 +132,13 @@ def references(df: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
     parts = bounded(df).where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, counts array<long>")
     sums = parts.select("lang", F.posexplode("counts")).groupBy("lang", "pos").agg(F.sum("col").alias("n"))
-    rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("h")).orderBy("lang").collect()
-    hist = {r["lang"]: [x["n"] for x in r["h"]] for r in rows}
+    sums = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("h"))
+    words = F.aggregate(F.slice("h", _CLASS_N + 1, _WORD_N), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    rows = written(sums.withColumn("words", words), "references")
+    total = rows.agg(F.sum("words")).first()[0] or 0
+    found = rows.where(F.col("words") >= max(1.0, MIN_SHARE * total)).orderBy("lang").collect()
+    dropped(rows)
+    hist = {r["lang"]: [x["n"] for x in r["h"]] for r in found}
     return {k: (v[:_CLASS_N], v[_CLASS_N:]) for k, v in hist.items()}
 
 

@@ -222,3 +222,69 @@ def test_ridge_logistic_matches_gradient_zero(seed):
     w = toxicity.ridge_logistic(x, y, np.ones(60), prior)
     p = 1 / (1 + np.exp(-x @ w))
     assert np.abs((x.T @ (p - y) + np.array([toxicity.RIDGE] * 3 + [1e-6]) * (w - prior))).max() < 1e-4
+
+
+def test_classifier_gradient_and_optimum():
+    """The gradient is that of the likelihood written out grade by grade, and training ends where it is zero."""
+    rng = np.random.default_rng(4)
+    n = 60
+    row, feature, value = np.repeat(np.arange(n), 5), rng.integers(0, 40, 5 * n), rng.random(5 * n)
+    y = rng.integers(0, 4, n)
+    x = np.zeros(classifier.SIZE + 3)
+    x[:40], x[-3:] = rng.standard_normal(40), (-0.5, 0.1, -0.2)
+
+    def plain(x):
+        t = [x[-3], x[-3] + np.exp(x[-2]), x[-3] + np.exp(x[-2]) + np.exp(x[-1])]
+        total = 0.0
+        for i in range(n):
+            s = sum(v * x[f] for f, v in zip(feature[row == i], value[row == i], strict=True))
+            above = [1.0, *[1 / (1 + np.exp(-(s - k))) for k in t], 0.0]
+            total -= np.log(above[y[i]] - above[y[i] + 1])
+        return total / n + classifier.RIDGE / 2 * (x[: classifier.SIZE] ** 2).sum()
+
+    got, grad = classifier.loss(x, row, feature, value, y)
+    assert got == pytest.approx(plain(x))
+    for i in (0, 7, 39, classifier.SIZE, classifier.SIZE + 1, classifier.SIZE + 2):
+        e = np.zeros(len(x))
+        e[i] = 1e-6
+        assert (plain(x + e) - plain(x - e)) / 2e-6 == pytest.approx(grad[i], abs=1e-6)
+    m = classifier.train(row, feature, value, y)
+    gaps = np.log(np.diff(m.thresholds))
+    assert np.abs(classifier.loss(np.concatenate([m.weights, [m.thresholds[0]], gaps]), row, feature, value, y)[1]).max() < 1e-4
+
+
+def test_classifier_grades_stay_in_range(spark, odd):
+    m = classifier.fit(odd, spark.createDataFrame([(4, 3, 0), (5, 7, 5), (6, -1, -2), (7, 0, 9)], "doc_id long, quality int, toxic int"))
+    assert all(0 <= r.expected_grade <= 3 for r in classifier.rate(odd, m).collect())
+
+
+def test_mixing_rates_are_the_projected_optimum(spark):
+    """Rates equal those of plain projected gradient steps on dense arrays, run to the end."""
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.mix(docs, labels, targets={"q0t0": 0.4, "q0t1": 0.1, "q1t0": 0.4, "q1t1": 0.1}).toPandas()
+    names = list(got.posteriors[0])
+    a = np.array([[p[n] for n in names] for p in got.posteriors]).T * got.n_tokens.to_numpy()
+    want = np.array([{"q0t0": 0.4, "q0t1": 0.1, "q1t0": 0.4, "q1t1": 0.1}.get(n, 0.0) for n in names])
+    want *= a.sum() / want.sum()
+    x, h = np.ones(a.shape[1]), np.linalg.inv(a @ a.T + 1e-9 * np.trace(a @ a.T) * np.eye(len(names)))
+    for _ in range(3000):
+        x = np.maximum(0, x - a.T @ (h @ (a @ x - want)))
+    assert np.abs(a @ got.rate.to_numpy() - a @ x).max() <= 3 * mixing.TOLERANCE * want.max()
+    assert got.missed[0] == pytest.approx(np.abs(a @ got.rate.to_numpy() - want).max() / want.max(), abs=1e-6)
+
+
+def test_mixing_posteriors_are_naive_bayes(spark, odd):
+    labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (8, 0, 1), (7, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = mixing.measured(odd, "doc_id", "text").collect()
+    named = {4: "q1t0", 5: "q0t1", 8: "q0t1", 7: "q1t0", 9: "q1t1"}
+    learnt = [(named[r.id], r.bins) for r in rows if r.id in named]
+    got = {(r.doc_id): r.posteriors for r in mixing.mix(odd, labels).collect()}
+    for r in rows:
+        logs = {}
+        for d in sorted(set(named.values())):
+            mine = [b for n, b in learnt if n == d]
+            logs[d] = np.log((len(mine) + mixing.SMOOTH * mixing.BINS) / (len(learnt) + 3 * mixing.SMOOTH * mixing.BINS))
+            for m, b in enumerate(r.bins):
+                logs[d] += np.log((sum(x[m] == b for x in mine) + mixing.SMOOTH) / (len(mine) + mixing.SMOOTH * mixing.BINS))
+        total = sum(np.exp(v) for v in logs.values())
+        assert got[r.id] == pytest.approx({d: np.exp(v) / total for d, v in logs.items()})

@@ -193,3 +193,44 @@ def test_token_counts_of_odd_rows(spark, odd):
         assert r.unit_totals[-1] == r.n_tokens
         assert (r.fit_chars == len(t)) or r.over_limit
     assert tokens.token_counts(odd.where(F.lit(False)), MODEL).count() == 0
+
+
+def test_js_distance_by_definition():
+    import math
+
+    rng = random.Random(9)
+    for _ in range(50):
+        p, q = ([rng.choice([0, 0, 1, 5, 9]) for _ in range(8)] for _ in range(2))
+        got = quality.js_distance(quality.np.array([p], float), quality.np.array([q], float))[0, 0]
+        if not sum(p) or not sum(q):
+            assert got == 1
+            continue
+        a, b = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        kl = lambda u, v: sum(x * math.log2(x / ((x + y) / 2)) for x, y in zip(u, v, strict=True) if x)
+        assert abs(got - math.sqrt((kl(a, b) + kl(b, a)) / 2)) < 1e-9
+
+
+def test_histograms_and_references(spark, odd):
+    """Classes and common words counted one by one, and a language of few words is no reference."""
+    texts = {r.doc_id: r.text or "" for r in odd.collect()}
+    arr = pa.array(list(texts.values()))
+    off, data = K.string_buffers(arr)
+    classes, words = quality.histograms(data, off, K.Words(data, off, True))
+    for t, c, w in zip(texts.values(), classes, words, strict=True):
+        assert c.sum() == len(t) and w.sum() == len(words_of(t))
+        low = collections.Counter(re.sub("[A-Z]", lambda m: m.group().lower(), x) for x in words_of(t))
+        assert {quality.WORDS[i]: n for i, n in enumerate(w[:-1]) if n} == {x: n for x, n in low.items() if x in quality.WORDS}
+        assert c[0] == sum("a" <= x <= "z" for x in t) and c[2] == sum("0" <= x <= "9" for x in t)
+    rows = [("a b c " * 1000, "en"), ("un mot", "xx"), (None, "yy")]
+    assert set(quality.references(spark.createDataFrame(rows, "text string, lang string"))) == {"en"}
+
+
+def test_lines_and_words_that_break_polynomials():
+    x = "a"
+    while len(x) < 2048:
+        x += x.translate(str.maketrans("ab", "ba"))
+    y = x.translate(str.maketrans("ab", "ba"))
+    for t in (f"{x}\n{y}\n{x}", " ".join([x, y] * 5), " ".join(f"{x if i % 3 else y} w{i % 4}" for i in range(40))):
+        off, data = K.string_buffers(pa.array([t]))
+        got = quality.base_counts(data, off)
+        assert tuple(int(got[k][0]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == base_counts(t)
