@@ -1,37 +1,43 @@
 """Language identification by a string kernel.
 
-The blended-spectrum presence kernel of two texts is the number of character n-grams (n = 1, 2, 3, hashed to BITS
-bits) that both hold, over the root of the product of their own numbers. Nystroem landmarks, the same number from each
-language, give explicit features; kernel ridge regression fits one score per language against the rest. Since scores
-are linear in a text's n-gram presence, landmarks and weights fold into one matrix, and a batch is scored by one
-matrix product with its presence rows.
-
-The fit reads at most MAX_FIT labelled rows, those of smallest hash of the id, and whole texts: a text's presence is
-2**BITS bits however long it is.
-
-Edge cases: a null text or one without a letter is `und` with score 0; without labels every text is; rows without a
-language aren't learnt from; only the id, text and language columns are read.
+The blended-spectrum presence kernel of two pieces of text is the number of character n-grams (n = 1, 2, 3, hashed to
+BITS bits) that both hold, over the root of the product of their own numbers. A text is the mean of its pieces of PIECE
+characters, so long texts don't fill all bits. Nystroem landmarks, the same number from each language, give explicit
+features; kernel ridge regression fits one score per language against the rest. Scores are linear in a text's features,
+so landmarks and weights fold into one matrix, and a batch of pieces is scored by one product of its presence matrix
+with it; a batch holds BATCH pieces, however long texts are and however many languages there are.
+
+The fit reads at most MAX_FIT labelled rows (or FEWEST of each language, if there are more languages than that allows),
+the same number of each language, those of smallest hash of the id, and whole texts; at most 2**BITS numbers for each
+come to the driver.
+
+Edge cases: a null text or one without a letter (Unicode category L) is `und` with score 0; without labels every text
+is; rows without a language or text aren't learnt from; repeated rows are rated alike; only the id, text and language
+columns are read.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorcade.llm.common import bounded, dropped, written
 
 BITS = 15
+PIECE = 2048
+BATCH = 128
 MAX_FIT = 2048
+FEWEST = 16
 LANDMARKS = 256
 RIDGE = 1e-2
 SHARPNESS = 6.0
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def grams(text: str) -> np.ndarray:
@@ -48,50 +54,96 @@ def grams(text: str) -> np.ndarray:
     return np.flatnonzero(held)
 
 
+def pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray, float]]:
+    """(text number, n-grams, weight) of all pieces; the weight is the piece's norm over the text's number of pieces."""
+    for i, t in enumerate(texts):
+        n = max(1, -(-len(t) // PIECE))
+        for at in range(n):
+            # the two characters behind a piece complete its last n-grams
+            held = grams(t[at * PIECE : (at + 1) * PIECE + 2])
+            yield i, held, 1 / (n * np.sqrt(max(1, len(held))))
+
+
+def feature(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and values of a text's features, the mean over its pieces."""
+    x = np.zeros(1 << BITS, np.float32)
+    for _, held, weight in pieces([text]):
+        x[held] += weight
+    held = np.flatnonzero(x)
+    return held, x[held]
+
+
+def products(rows: Iterable[tuple[int, np.ndarray, np.ndarray | float]], n: int, matrix: np.ndarray) -> np.ndarray:
+    """Sums by number of (number, bits, values) rows times a matrix with a row for each bit, in batches of dense rows."""
+    out = np.zeros((n, matrix.shape[1]))
+    batch = np.zeros((BATCH, 1 << BITS), np.float32)
+    numbers: list[int] = []
+
+    def flush() -> None:
+        np.add.at(out, numbers, batch[: len(numbers)] @ matrix)
+        batch[: len(numbers)] = 0
+        numbers.clear()
+
+    for i, held, values in rows:
+        batch[len(numbers), held] = values
+        numbers.append(i)
+        if len(numbers) == BATCH:
+            flush()
+    flush()
+    return out
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
     weights: np.ndarray  # 2**BITS x languages
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_FIT) -> LanguageModel:
-    """Learn from rows with a text and a language; the caller leaves out rows that must not be learnt from."""
-    rows = bounded(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    picked = written(rows.select(F.col(id_col)).distinct().orderBy(F.xxhash64(id_col), id_col).limit(most), "lang-fit")
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                row = np.zeros(1 << BITS, bool)
-                row[grams(t)] = True
-                out.append(np.packbits(row).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "lang", "bits"])
-
-    some = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(picked.withColumnRenamed(id_col, "id")), "id")
-    got = some.mapInArrow(bits, f"id {dict(docs.dtypes)[id_col]}, lang string, bits binary").toArrow()
-    dropped(picked)
-    if not got.num_rows:
-        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
-    order = np.argsort(np.array([str(i) for i in got["id"].to_pylist()]), kind="stable")[:most]
-    langs = np.array(got["lang"].to_pylist(), object)[order]
-    packed = np.frombuffer(b"".join(got["bits"].take(pa.array(order)).to_pylist()), np.uint8).reshape(len(order), -1)
+def train(features: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> LanguageModel:
+    """Kernel ridge regression on Nystroem features, one score per language against the rest."""
     names = sorted(set(langs))
+    kind = np.array(langs, object)
     each = max(1, LANDMARKS // len(names))
-    marks = np.concatenate([np.flatnonzero(langs == x)[:each] for x in names])
-    land = np.unpackbits(packed[marks], axis=1).astype(np.float32)
-    land /= np.sqrt(np.maximum(land.sum(1, keepdims=True), 1))
-    cross = np.empty((len(order), len(marks)))
-    for at in range(0, len(order), 256):
-        part = np.unpackbits(packed[at : at + 256], axis=1).astype(np.float32)
-        cross[at : at + 256] = (part / np.sqrt(np.maximum(part.sum(1, keepdims=True), 1))) @ land.T
+    marks = np.concatenate([np.flatnonzero(kind == x)[:each] for x in names])
+    land = np.zeros((1 << BITS, len(marks)), np.float32)
+    for i, k in enumerate(marks):
+        held, x = features[k]
+        land[held, i] = x
+    cross = products(((i, held, x) for i, (held, x) in enumerate(features)), len(features), land)
     values, vectors = np.linalg.eigh(cross[marks])
     good = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])
     phi = cross @ root
-    target = np.where(langs[:, None] == np.array(names, object)[None, :], 1.0, -1.0)
-    ridge = np.linalg.solve(phi.T @ phi + RIDGE * len(order) * np.eye(phi.shape[1]), phi.T @ target)
-    return LanguageModel(names, (land.T @ (root @ ridge)).astype(np.float32))
+    target = np.where(kind[:, None] == np.array(names, object)[None, :], 1.0, -1.0)
+    ridge = np.linalg.solve(phi.T @ phi + RIDGE * len(features) * np.eye(phi.shape[1]), phi.T @ target)
+    return LanguageModel(names, (land @ (root @ ridge)).astype(np.float32))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_FIT) -> LanguageModel:
+    """Learn from rows with a text and a language; the caller leaves out rows that must not be learnt from."""
+    rows = bounded(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    n = rows.agg(F.count_distinct("lang")).first()[0]
+    if not n:
+        return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    picked = rows.select("id", "lang").distinct().withColumn("place", order).where(F.col("place") <= max(FEWEST, most // n)).drop("place")
+    picked = written(picked, "lang-fit")
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [feature(t) for t in b.column(2).to_pylist()]
+            f, x = pa.array([f.astype(np.int32) for f, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), f, x], ["id", "lang", "f", "x"])
+
+    some = rows.join(F.broadcast(picked), ["id", "lang"]).distinct()
+    got = some.mapInArrow(featured, f"id {dict(docs.dtypes)[id_col]}, lang string, f array<int>, x array<float>").toArrow()
+    dropped(picked)
+    ids, langs = got["id"].to_pylist(), got["lang"].to_pylist()
+    cols = [got[c].combine_chunks() for c in ("f", "x")]
+    made = [tuple(c[i].values.to_numpy() for c in cols) for i in range(len(ids))]
+    order = sorted(range(len(ids)), key=lambda i: (langs[i], str(ids[i]), made[i][1].tobytes()))
+    return train([made[i] for i in order], [langs[i] for i in order])
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,14 +155,10 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
             texts = b.column(1).to_pylist()
             pred, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if model.langs and t and LETTER.search(t)]
-            for at in range(0, len(known), 256):
-                part = known[at : at + 256]
-                held = [grams(texts[i]) for i in part]
-                starts = np.concatenate([[0], np.cumsum([len(h) for h in held])[:-1]])
-                # presence rows times weights: presence is sparse, so the product sums the weights' rows
-                s = np.add.reduceat(model.weights[np.concatenate(held)], starts, axis=0) / np.sqrt([[len(h)] for h in held])
+            if known:
+                s = products(pieces([texts[i] for i in known]), len(known), model.weights)
                 e = np.exp(SHARPNESS * (s - s.max(1, keepdims=True)))
-                pred[part], score[part] = s.argmax(1), e.max(1) / e.sum(1)
+                pred[known], score[known] = s.argmax(1), e.max(1) / e.sum(1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[pred].tolist(), pa.string()), pa.array(score)], [id_col, "lang_pred", "score"])
 
-    return bounded(df).select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, lang_pred string, score double")
+    return bounded(df).select(id_col, F.col(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, lang_pred string, score double")

@@ -67,16 +67,36 @@ def test_language_held_out(spark):
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
-def test_language_folding_equals_kernel_scores(spark, sf):
-    """Folding landmarks into one matrix gives the kernel ridge scores of plain dense algebra."""
-    texts = ["the cat sat", "der hund lief", "le chat noir dort", "the dog ran"]
-    held = [langid.grams(t) for t in texts]
-    k = np.array([[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for b in held] for a in held])
-    dense = np.zeros((4, 1 << langid.BITS), np.float32)
-    for row, h in zip(dense, held, strict=True):
-        row[h] = 1
-    dense /= np.sqrt(dense.sum(1, keepdims=True))
-    assert np.allclose(dense @ dense.T, k, atol=1e-5)
+def test_language_scores_equal_plain_kernel_ridge(spark):
+    """fit and identify against a kernel matrix over n-gram sets, piece by piece, and its dense ridge solution."""
+    rng = np.random.default_rng(5)
+    words = {"de": "der hund lief nicht über die straße", "en": "the dog ran over that street", "fr": "le chien courut dans une rue"}
+    rows = [(i, " ".join(rng.choice(words[x].split(), rng.integers(4, 900))), x) for i, x in enumerate(["de", "en", "fr"] * 12)]
+    new = [(100 + i, " ".join(rng.choice(words[x].split(), rng.integers(4, 900)))) for i, x in enumerate(["de", "en", "fr"] * 4)]
+
+    def kernel(a, b):
+        parts = [[set(langid.grams(t[i : i + langid.PIECE + 2])) for i in range(0, len(t), langid.PIECE)] for t in (a, b)]
+        return np.mean([[len(x & y) / np.sqrt(len(x) * len(y)) for y in parts[1]] for x in parts[0]])
+
+    texts, names = [t for _, t, _ in rows], sorted(words)
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    y = np.array([[1.0 if x == n else -1.0 for n in names] for *_, x in rows])
+    alpha = np.linalg.solve(k + langid.RIDGE * len(rows) * np.eye(len(rows)), y)
+    want = np.array([[kernel(t, u) for u in texts] for _, t in new]) @ alpha
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert np.allclose(langid.products(langid.pieces([t for _, t in new]), len(new), m.weights), want, atol=2e-3)
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(new, "doc_id long, text string"), m).collect()}
+    for (i, _), s in zip(new, want, strict=True):
+        e = np.exp(langid.SHARPNESS * (s - s.max()))
+        assert got[i].lang_pred == names[s.argmax()] and got[i].score == pytest.approx(e.max() / e.sum(), abs=1e-2)
+
+
+def test_language_learns_rare_ones_and_letters(spark):
+    rows = [(i, "the dog and the street", "en") for i in range(3000)] + [(5000 + i, "ja niin on koira tie", "fi") for i in range(3)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = ["½ ² ① Ⅷ ٣", "ª", "koira on", "9 % _"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), m).collect()}
+    assert m.langs == ["en", "fi"] and got[0] == got[3] == "und" and got[1] != "und" and got[2] == "fi"
 
 
 def test_language_odd_rows(spark, odd):
