@@ -257,7 +257,7 @@ def _linked(members: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataF
     # how many rows of other members each representative meets over all its buckets
     met = members.groupBy("rep").agg(F.sum("size").alias("met")).join(classes.select("rep", "n"), "rep")
     met = written(met, "met")
-    ids = met.select(F.col("rep").alias("id")).distinct()
+    ids = met.select(F.col("rep").alias("id"))
     one = lambda t, c: t.join(ids, "id", "left_semi").groupBy("id").agg(F.min_by(c, "h").alias(c))
     sigs = written(one(sigs.where("n > 0").select("id", "sig", "h"), "sig"), "met-signatures")
     docs = written(one(docs.withColumn("h", F.xxhash64("text")), "text"), "met-texts")
@@ -293,7 +293,7 @@ def _linked(members: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataF
         main = parts.groupBy("shingle").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts"), F.sum("k").alias("held")).where("parts > 1")
         main = written(main.select("shingle", "main", (F.col("held") > HOT).alias("hot")), "main-components")
         x = prefix.join(main, "shingle").where("c != main").select("shingle", "hot", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("most").alias("ma"))
-        y = prefix.join(main, "shingle").select("shingle", "hot", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("most").alias("mb"))
+        y = prefix.select("shingle", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("most").alias("mb"))
         step = lambda n: F.floor(F.log2(n) * SIZE_STEPS).cast("int")
         # sizes that leave enough to overlap: most >= (na + nb) * percent / (100 + percent), and nb near na
         fewest = F.ceil(F.col("na") * percent / 100)
@@ -301,8 +301,8 @@ def _linked(members: DataFrame, classes: DataFrame, sigs: DataFrame, docs: DataF
         asked = x.where("hot").where(largest >= fewest).withColumn("size", F.explode(F.sequence(step(fewest), step(largest))))
         most = F.least("ma", "mb")
         enough = (F.col("ca") != F.col("cb")) & (100 * most >= percent * (F.col("na") + F.col("nb") - most)) & near(F.col("na"), F.col("nb"))
-        cold = x.where("not hot").join(y.where("not hot"), "shingle").where(enough)
-        hot = asked.join(y.where("hot").withColumn("size", step(F.col("nb"))), ["shingle", "size"]).where(enough)
+        cold = x.where("not hot").join(y, "shingle").where(enough)
+        hot = asked.join(y.join(main.where("hot"), "shingle", "left_semi").withColumn("size", step(F.col("nb"))), ["shingle", "size"]).where(enough)
         made.extend((big, rows, prefix, main))
         return cold.select("a", "b").unionByName(hot.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
