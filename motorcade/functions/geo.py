@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +20,13 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return F.lit(2.0 * radius) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
+def metres(lat1, lon1, lat2, lon2, radius: float = EARTH_M):
+    """The same for numbers or arrays of numbers."""
+    p, q = np.radians(lat1), np.radians(lat2)
+    a = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * radius * np.arcsin(np.sqrt(np.minimum(1.0, a)))
+
+
 def _cells(x: Column, low: float, span: float, bits: int) -> Column:
     """Number of the half-open cell that x lies in, clamped to the grid."""
     n = F.floor((x - low) / span * float(1 << bits)).cast("bigint")

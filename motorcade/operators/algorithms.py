@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorcade.checkpoints import ensure
-from motorcade.operators.trips import metres
+from motorcade.functions.geo import metres
 
 # labelling ---------------------------------------------------------------------------------------
 
@@ -195,7 +195,7 @@ class Graph:
         step = self.into if reverse else self.out
         if guide and goal is not None:
             rate, end = BODY.get(body, 1.0) * PER_KM / 1000, self.at[goal]
-            ahead = lambda n: metres(*self.at[n], *end, 6_371_088.0) * rate
+            ahead = lambda n: float(metres(*self.at[n], *end, 6_371_088.0)) * rate
         else:
             ahead = lambda n: 0.0
         dist, came, done = dict.fromkeys(sources, 0.0), {}, set()
@@ -272,7 +272,7 @@ def grid_graph(n: int, south: float = 13.0, west: float = 80.0, step: float = 0.
             for rr, cc in ((r, c + 1), (r + 1, c), (r, c - 1), (r - 1, c)):
                 if 0 <= rr < n and 0 <= cc < n:
                     a, b = r * n + c, rr * n + cc
-                    km = metres(*nodes[a][1:], *nodes[b][1:], 6_371_088.0) / 1000
+                    km = float(metres(*nodes[a][1:], *nodes[b][1:], 6_371_088.0)) / 1000
                     edges.append((a, b, km, 30.0 + 10 * ((a + b) % 5)))
     return nodes, edges
 

@@ -124,7 +124,7 @@ def range_risk(telemetry: DataFrame, sessions: DataFrame, c: ChargeConfig = CHAR
     df = rows.unionByName(closed).withColumn("soh", F.coalesce(F.last("soh", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(c.default_soh))).where("soc_pct is not null")
     usable = F.col("soc_pct") / 100.0 * c.nominal_kwh * (F.col("soh") / 100.0) - 0.1 * c.nominal_kwh
     df = df.withColumn("usable_kwh", usable).where((F.col("soc_pct") <= c.low_soc) | (F.col("usable_kwh") < c.least_kwh))
-    kept = cooled(df.select("vehicle_pid", "tenant_id", "ts_ms", "seq", "soc_pct", "soh", "usable_kwh"), c.cooldown_ms, ["vehicle_pid"])
+    kept = cooled(df.select("vehicle_pid", "tenant_id", "ts_ms", "seq", "soc_pct", "soh", "usable_kwh"), c.cooldown_ms)
     window = F.col("ts_ms") - F.col("ts_ms") % c.cooldown_ms
     return kept.withColumn("severity", F.when(F.col("soc_pct") <= c.critical_soc, "CRITICAL").otherwise("HIGH")).withColumn("alert_key", uuid3(F.concat(F.col("vehicle_pid"), F.lit(":RANGE_RISK:"), window.cast("string"))))
 
@@ -137,5 +137,5 @@ def tow_alerts(telemetry: DataFrame, c: FenceConfig = FENCE) -> DataFrame:
     first = lambda x: F.first(x).over(at)
     df = df.withColumn("parked_ms", first("ts_ms")).withColumn("moved_m", haversine(first("lat_e6") / 1e6, first("lon_e6") / 1e6, F.col("lat_e6") / 1e6, F.col("lon_e6") / 1e6))
     df = df.where((F.col("moved_m") > c.tow_m) & (F.col("ts_ms") - F.col("parked_ms") <= c.tow_window_ms))
-    kept = cooled(df.select("vehicle_pid", "tenant_id", "ts_ms", "seq", "moved_m"), c.tow_cooldown_ms, ["vehicle_pid"], strict=True)
+    kept = cooled(df.select("vehicle_pid", "tenant_id", "ts_ms", "seq", "moved_m"), c.tow_cooldown_ms, strict=True)
     return kept.withColumn("alert_key", uuid3(F.concat(F.col("vehicle_pid"), F.lit(":TOW:"), F.floor(F.col("ts_ms") / c.tow_cooldown_ms).cast("string"))))

@@ -1,21 +1,22 @@
 """Geofence transitions with hysteresis.
 
 Samples meet fences by geohash cell: a fence covers the cells of its bounding box, samples have one cell, and an
-equi-join with the distance test as residual gives memberships. A fold per vehicle then confirms transitions; a
-(vehicle, fence) pair costs state only while the vehicle is inside or a change is pending.
+equi-join with the distance test as residual gives memberships. A vehicle's state at a fence is set by the last run of
+enough samples inside or outside, so transitions follow from windows over the samples inside: a run inside confirms by
+its length, one outside by the distance to the next sample inside. Only memberships are ever held, no pairs of samples
+and fences that lie apart.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorcade.config import FENCE, FenceConfig
 from motorcade.functions.geo import EARTH_M, cover_bbox, geohash, haversine, in_polygon
 from motorcade.functions.ids import uuid3
-from motorcade.operators.fold import fold
 
 PRECISION = 5
 
@@ -47,43 +48,25 @@ def inside_polygons(samples: DataFrame, polygons: DataFrame, precision: int = PR
     return s.join(p, "cell").where(box).where(in_polygon(lat, lon, F.col("ring"))).drop("cell", "s", "n", "w", "e", "ring")
 
 
-def transition_step(state: dict | None, row: dict, confirm: int = FENCE.confirm) -> tuple[dict, list[tuple]]:
-    """state: fence -> [inside, samples that differ, type]. row['inside']: the fences that hold the sample, as (id, type)."""
-    state = {} if state is None else state
-    now, out = {int(i): t for i, t in row["fences"]}, []
-    for fence in sorted(now.keys() | state.keys()):
-        was = state.setdefault(fence, [False, 0, now.get(fence)])
-        if (fence in now) == was[0]:
-            was[1] = 0
-        else:
-            was[1] += 1
-            if was[1] >= confirm:
-                was[0], was[1] = fence in now, 0
-                kind = ("BREACH" if was[2].upper() == "RESTRICTED" else "ENTER") if was[0] else "EXIT"
-                out.append((row["vehicle_pid"], int(row["tenant_id"]), fence, was[2], kind, int(row["ts_ms"]), int(row["seq"])))
-        if not was[0] and not was[1]:
-            del state[fence]
-    return state, out
-
-
 def transitions(telemetry: DataFrame, fences: DataFrame, c: FenceConfig = FENCE, last_only: bool = False) -> DataFrame:
     """ENTER, EXIT and BREACH events, confirmed by c.confirm samples in a row. With last_only, of several fences that
     change at one sample only the one of greatest id is reported."""
-    held = inside_circles(telemetry.select("vehicle_pid", "tenant_id", "ts_ms", "seq", "lat_e6", "lon_e6"), fences)
-    inside = held.groupBy("vehicle_pid", "ts_ms", "seq").agg(F.collect_list(F.struct("fence_id", "type")).alias("fences"))
-    rows = telemetry.where("lat_e6 is not null and lon_e6 is not null").select("vehicle_pid", "tenant_id", "ts_ms", "seq").join(inside, ["vehicle_pid", "ts_ms", "seq"], "left")
-    none = F.array().cast(inside.schema["fences"].dataType)
-    # as text pairs, which the row pass reads the same on every path
-    rows = rows.withColumn("fences", F.to_json(F.coalesce("fences", none)))
-
-    def step(state, row):
-        import json
-
-        pairs = [(x["fence_id"], x["type"]) for x in json.loads(row["fences"])]
-        return transition_step(state, row | {"fences": pairs}, c.confirm)
-
-    schema = "vehicle_pid string, tenant_id int, fence_id int, fence_type string, transition string, ts_ms bigint, seq bigint"
-    out = fold(rows, "vehicle_pid", ["ts_ms", "seq"], step, schema)
+    w = Window.partitionBy("vehicle_pid").orderBy("ts_ms", "seq")
+    rows = telemetry.where("lat_e6 is not null and lon_e6 is not null").select("vehicle_pid", "tenant_id", "ts_ms", "seq", "lat_e6", "lon_e6")
+    # each sample's number, and the sample that confirms an exit if this is the last one inside
+    rows = rows.withColumn("n", F.row_number().over(w)).withColumn("out", F.lead(F.struct("ts_ms", "seq", "tenant_id"), c.confirm).over(w))
+    held = inside_circles(rows, fences).select("vehicle_pid", "fence_id", "type", "n", "out", F.struct("ts_ms", "seq", "tenant_id").alias("at"))
+    at_fence = Window.partitionBy("vehicle_pid", "fence_id").orderBy("n")
+    held = held.withColumn("begins", F.coalesce(F.col("n") - F.lag("n").over(at_fence) > 1, F.lit(True)))
+    held = held.withColumn("first", F.last(F.when(F.col("begins"), F.col("n")), True).over(at_fence))
+    away = F.coalesce(F.lead("n").over(at_fence) - F.col("n") > c.confirm, F.lit(True)) & F.col("out").isNotNull()
+    entered = F.when(F.col("n") - F.col("first") + 1 == c.confirm, F.struct(F.col("n").alias("n"), F.lit(True).alias("inside"), F.col("at").alias("at")))
+    left = F.when(away, F.struct((F.col("n") + c.confirm).alias("n"), F.lit(False).alias("inside"), F.col("out").alias("at")))
+    held = held.withColumn("found", F.filter(F.array(entered, left), lambda x: x.isNotNull())).select("vehicle_pid", "fence_id", "type", F.explode("found").alias("x"))
+    held = held.select("vehicle_pid", "fence_id", F.col("type").alias("fence_type"), "x.*")
+    changed = held.withColumn("was", F.coalesce(F.lag("inside").over(at_fence), F.lit(False))).where("inside != was")
+    kind = F.when(~F.col("inside"), "EXIT").when(F.upper("fence_type") == "RESTRICTED", "BREACH").otherwise("ENTER")
+    out = changed.select("vehicle_pid", "at.tenant_id", "fence_id", "fence_type", kind.alias("transition"), "at.ts_ms", "at.seq")
     if last_only:
         out = out.groupBy("vehicle_pid", "tenant_id", "ts_ms", "seq").agg(F.max(F.struct("fence_id", "fence_type", "transition")).alias("x")).select("vehicle_pid", "tenant_id", "x.*", "ts_ms", "seq")
     return out.withColumn("event_id", uuid3(F.concat_ws(":", "vehicle_pid", F.col("fence_id").cast("string"), F.col("ts_ms").cast("string"), "transition")))

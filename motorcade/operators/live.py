@@ -56,7 +56,7 @@ def offline(live: DataFrame, now_ms: Column | int, interval_s: int = 30) -> Data
 def dtc_alerts(telemetry: DataFrame, cooldown_ms: int = 300_000) -> DataFrame:
     """Alerts for critical codes, one per vehicle and cooldown."""
     df = telemetry.withColumn("code", dtc_critical(F.col("dtc"))).where("code is not null").select("vehicle_pid", "tenant_id", "ts_ms", "seq", "code")
-    return cooled(df, cooldown_ms, ["vehicle_pid"])
+    return cooled(df, cooldown_ms)
 
 
 def watched(telemetry: DataFrame, watchlist: DataFrame, trail: int = 500) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import heapq
-from dataclasses import dataclass, field
+from bisect import insort
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motorcade.config import CLOCK_SKEW, LATE, REORDER, ReorderConfig
-from motorcade.operators.fold import fold
-from motorcade.operators.trips import metres
+from motorcade.functions.geo import metres
+from motorcade.operators.lockstep import Arrays, run
 
 
 def first_arrivals(df: DataFrame, keys: list[str], arrival: str) -> DataFrame:
@@ -20,88 +23,132 @@ def first_arrivals(df: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     return best.select("r.*")
 
 
-@dataclass
-class SequenceWindow:
-    """Bitmap of the last `size` sequence numbers. Greater ones are new and clear the bits they skip; older than the window can't be judged."""
-
-    size: int = 4096
-    top: int = -1
-    seen: set = field(default_factory=set)
-
-    def judge(self, seq: int) -> str:
-        if seq > self.top:
-            self.seen = set() if seq - self.top >= self.size else {s for s in self.seen if s > seq - self.size}
-            self.top = seq
-        elif seq <= self.top - self.size:
-            return "OUT_OF_WINDOW"
-        elif seq in self.seen:
-            return "DUPLICATE"
-        self.seen.add(seq)
-        return "NEW"
-
-
 def judged(df: DataFrame, arrival: str, size: int = 4096) -> DataFrame:
-    """vehicle_pid, seq, arrival and verdict of the sequence window, in arrival order."""
-
-    def step(state, row):
-        state = state or SequenceWindow(size)
-        return state, [(row["vehicle_pid"], int(row["seq"]), int(row["arrival"]), state.judge(int(row["seq"])))]
-
+    """vehicle_pid, seq, arrival and verdict of a window over the last `size` sequence numbers: OUT_OF_WINDOW that many or
+    more behind the greatest that came before, else DUPLICATE where the number came before, else NEW."""
     rows = df.select("vehicle_pid", "seq", F.col(arrival).cast("bigint").alias("arrival"))
-    return fold(rows, "vehicle_pid", ["arrival"], step, "vehicle_pid string, seq bigint, arrival bigint, verdict string")
+    before = Window.partitionBy("vehicle_pid").orderBy("arrival", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("vehicle_pid", "seq").orderBy("arrival")
+    rows = rows.withColumn("behind", F.max("seq").over(before) - F.col("seq")).withColumn("times", F.row_number().over(same))
+    verdict = F.when(F.col("behind") >= size, "OUT_OF_WINDOW").when(F.col("times") > 1, "DUPLICATE").otherwise("NEW")
+    return rows.select("vehicle_pid", "seq", "arrival", verdict.alias("verdict"))
 
 
 @dataclass
-class Buffer:
-    """Reorder buffer of one vehicle."""
+class Mark:
+    """Greatest time that arrived and greatest that was let go, or -1."""
 
-    heap: list = field(default_factory=list)
     top: int = -1
-    emitted: int = -1
-
-    def push(self, ts: int, seq: int, item, c: ReorderConfig) -> tuple[list, bool]:
-        """(items that leave in order, whether this one is late)."""
-        if self.emitted != -1 and ts <= self.emitted:
-            return [], True
-        self.top = max(self.top, ts)
-        heapq.heappush(self.heap, (ts, seq, item))
-        out = []
-        while self.heap and (self.heap[0][0] <= self.top - c.lateness_ms or len(self.heap) > c.capacity):
-            t, _, x = heapq.heappop(self.heap)
-            self.emitted = t
-            out.append(x)
-        return out, False
-
-    def flush(self) -> list:
-        out = [heapq.heappop(self.heap)[2] for _ in range(len(self.heap))]
-        return out
+    gone: int = -1
+
+
+def released(ts: np.ndarray, seq: np.ndarray, held: int, mark: Mark, c: ReorderConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, Mark]:
+    """What a vehicle's buffer does with arrivals ts[held:], seq[held:] while it holds the ones before: numbers of the events
+    that leave, in order, of late ones, and of those that stay.
+
+    An event leaves when the watermark (the greatest time less the lateness) reaches it; one at or before a time that
+    has left is late. All of that follows from running maxima, but for arrivals that overfill the buffer."""
+    n = len(ts) - held
+    arrival = np.concatenate([np.full(held, -1), np.arange(n)])
+    top = np.maximum.accumulate(np.append(mark.top, ts[held:]))[1:]
+    leaves = np.maximum(arrival, np.searchsorted(top, ts + c.lateness_ms))  # n: stays
+    gone = np.full(n + 1, mark.gone)
+    out = leaves < n
+    np.maximum.at(gone, leaves[out] + 1, ts[out])
+    gone = np.maximum.accumulate(gone)
+    late = np.zeros(len(ts), bool)
+    late[held:] = ts[held:] <= gone[:n]
+    inside = held + np.cumsum(~late[held:]) - np.cumsum(np.bincount(leaves[out & ~late], minlength=n)[:n])
+    if n and inside.max() > c.capacity:
+        return _overfilled(ts, seq, held, mark, c)
+    left = np.flatnonzero(out & ~late)
+    left = left[np.lexsort((seq[left], ts[left]))]
+    return left, np.flatnonzero(late), np.flatnonzero(~out & ~late), Mark(int(top[-1]) if n else mark.top, int(gone[-1]))
+
+
+def _overfilled(ts: np.ndarray, seq: np.ndarray, held: int, mark: Mark, c: ReorderConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, Mark]:
+    """The same, arrival by arrival: a full buffer lets its earliest event go."""
+    times, numbers = ts.tolist(), seq.tolist()
+    inside = sorted((times[i], numbers[i], i) for i in range(held))
+    left, late, top, gone = [], [], mark.top, mark.gone
+    for i in range(held, len(times)):
+        if times[i] <= gone:
+            late.append(i)
+            continue
+        top = max(top, times[i])
+        insort(inside, (times[i], numbers[i], i))
+        cut = 0
+        while cut < len(inside) and (inside[cut][0] <= top - c.lateness_ms or len(inside) - cut > c.capacity):
+            cut += 1
+        if cut:
+            gone = inside[cut - 1][0]
+            left += [x[2] for x in inside[:cut]]
+            del inside[:cut]
+    as_numbers = lambda x: np.array(x, np.int64)
+    return as_numbers(left), as_numbers(late), as_numbers([x[2] for x in inside]), Mark(top, gone)
+
+
+REORDERED = "vehicle_pid string, ts_ms bigint, seq bigint, quality int, route string, position bigint"
 
 
 def reordered(df: DataFrame, arrival: str, c: ReorderConfig = REORDER) -> DataFrame:
     """vehicle_pid, ts_ms, seq, quality, route (clean or late) and position: what leaves each vehicle's buffer, in that
-    order; the rest is flushed at the end, as for a silent vehicle. An event more than skew_ms ahead of its arrival is flagged."""
-
-    def emit(state, items):
-        out = []
-        for ts, seq, q, pid in items:
-            state[1] += 1
-            out.append((pid, ts, seq, q, "clean", state[1]))
-        return out
-
-    def step(state, row):
-        state = state or [Buffer(), 0]
-        ts, seq, q = int(row["ts_ms"]), int(row["seq"]), int(row["quality"])
-        if ts > int(row["arrival"]) + c.skew_ms:
-            q |= CLOCK_SKEW
-        out, late = state[0].push(ts, seq, (ts, seq, q, row["vehicle_pid"]), c)
-        made = emit(state, out)
-        if late:
-            made.append((row["vehicle_pid"], ts, seq, q | LATE, "late", None))
-        return state, made
-
-    rows = df.select("vehicle_pid", "ts_ms", "seq", F.col(arrival).cast("bigint").alias("arrival"), F.coalesce("quality", F.lit(0)).alias("quality") if "quality" in df.columns else F.lit(0).alias("quality"))
-    schema = "vehicle_pid string, ts_ms bigint, seq bigint, quality int, route string, position bigint"
-    return fold(rows, "vehicle_pid", ["arrival", "seq"], step, schema, finish=lambda _, s: emit(s, s[0].flush()))
+    order; the rest is flushed at the end, as for a silent vehicle. An event more than skew_ms ahead of its arrival is flagged.
+
+    One shuffle; a task holds a batch and one vehicle's buffer."""
+    came = F.col(arrival).cast("bigint")
+    quality = F.coalesce(F.col("quality"), F.lit(0)) if "quality" in df.columns else F.lit(0)
+    skewed = F.when(F.col("ts_ms") > came + c.skew_ms, CLOCK_SKEW).otherwise(0)
+    rows = df.where("vehicle_pid is not null").select("vehicle_pid", F.col("ts_ms").cast("bigint").alias("ts_ms"), F.col("seq").cast("bigint").alias("seq"), quality.cast("int").bitwiseOR(skewed).alias("quality"), came.alias("arrival"))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vehicle, mark, place = None, Mark(), 0
+        held = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int32)]
+        out: list[tuple] = []  # vehicle, time, number, quality, late, position
+
+        def put(cols, late) -> None:
+            nonlocal place
+            if len(cols[0]):
+                out.append((vehicle, *cols, np.full(len(cols[0]), late), np.arange(place + 1, place + 1 + len(cols[0]))))
+                place += 0 if late else len(cols[0])
+
+        def flush() -> None:
+            order = np.lexsort((held[1], held[0]))
+            put([x[order] for x in held], False)
+
+        def batch() -> pa.RecordBatch:
+            size = [len(x[1]) for x in out]
+            late = np.concatenate([x[4] for x in out])
+            who = pa.array([x[0] for x in out], pa.string()).take(pa.array(np.repeat(np.arange(len(out)), size)))
+            ts, seq, q, position = (np.concatenate([x[i] for x in out]) for i in (1, 2, 3, 5))
+            route = pa.array(["clean", "late"]).take(pa.array(late.astype(np.int8)))
+            cols = [who, pa.array(ts), pa.array(seq), pa.array((q | np.where(late, LATE, 0)).astype(np.int32)), route, pa.array(position, mask=late)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in REORDERED.split(", ")])
+
+        for b in batches:
+            names = b.column(0).dictionary_encode()
+            code = names.indices.to_numpy()
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            cols = [b.column(i).to_numpy() for i in (1, 2, 3)]
+            for lo, hi in zip(starts, np.append(starts[1:], len(code)), strict=True):
+                name = names.dictionary[int(code[lo])].as_py()
+                if name != vehicle:
+                    flush()
+                    vehicle, mark, place = name, Mark(), 0
+                    held = [x[:0] for x in held]
+                both = [np.concatenate([x, y[lo:hi]]) for x, y in zip(held, cols, strict=True)]
+                left, late, stay, mark = released(both[0], both[1], len(held[0]), mark, c)
+                put([x[left] for x in both], False)
+                put([x[late] for x in both], True)
+                held = [x[stay] for x in both]
+            if out:
+                yield batch()
+        flush()
+        if out:
+            yield batch()
+
+    return rows.repartition("vehicle_pid").sortWithinPartitions("vehicle_pid", "arrival", "seq").select("vehicle_pid", "ts_ms", "seq", "quality").mapInArrow(go, REORDERED)
 
 
 def late_flags(df: DataFrame, arrival: str, c: ReorderConfig = REORDER) -> DataFrame:
@@ -112,38 +159,34 @@ def late_flags(df: DataFrame, arrival: str, c: ReorderConfig = REORDER) -> DataF
     return df.withColumn("watermark_ms", mark).withColumn("behind", F.coalesce(F.col("ts_ms") <= mark, F.lit(False)))
 
 
-@dataclass
-class GpsState:
-    lat: float
-    lon: float
-    ts: int
-    streak: int = 0
-    lat_sum: float = 0.0
-    lon_sum: float = 0.0
-
-
-def gps_step(s: GpsState | None, ts: int, lat: float, lon: float, speed: float | None, most_kmh: float = 250.0, factor: float = 3.0, confirm: int = 3, radius_m: float = 100.0) -> tuple[GpsState, bool]:
-    """Whether a point is plausible: its implied speed is under the limit, or enough suspects in a row cluster around their mean."""
-    if s is None:
-        return GpsState(lat, lon, ts), True
-    if ts <= s.ts:
-        return s, True
-    kmh = metres(s.lat, s.lon, lat, lon, 6_371_008.8) / 1000 / ((ts - s.ts) / 3_600_000)
-    reported = speed or 0.0
-    if kmh <= (max(most_kmh, factor * reported) if reported >= 2 else most_kmh):
-        return GpsState(lat, lon, ts), True
-    s.streak, s.lat_sum, s.lon_sum = s.streak + 1, s.lat_sum + lat, s.lon_sum + lon
-    if s.streak >= confirm and metres(s.lat_sum / s.streak, s.lon_sum / s.streak, lat, lon, 6_371_008.8) <= radius_m:
-        return GpsState(lat, lon, ts), True
-    return s, False
+class GpsMachine:
+    """Suspect is a point whose speed from the last trusted one is past the limit, until enough suspects in a row lie around
+    their mean: then the vehicle has moved. Points no later than the trusted one are neither judged nor counted."""
 
+    columns, schema = ("ts_ms", "lat", "lon", "speed_kmh"), "suspect boolean"
+    start = {"ts_ms": -1, "lat": np.nan, "lon": np.nan, "n": 0, "lat_sum": 0.0, "lon_sum": 0.0}
+    radius = 6_371_008.8
 
-def gps_filtered(telemetry: DataFrame) -> DataFrame:
-    """vehicle_pid, ts_ms, seq, suspect."""
+    def __init__(self, most_kmh: float = 250.0, factor: float = 3.0, confirm: int = 3, around_m: float = 100.0):
+        self.most_kmh, self.factor, self.confirm, self.around_m = most_kmh, factor, confirm, around_m
 
-    def step(state, row):
-        state, ok = gps_step(state, int(row["ts_ms"]), row["lat_e6"] / 1e6, row["lon_e6"] / 1e6, row["speed_kmh"])
-        return state, [(row["vehicle_pid"], int(row["ts_ms"]), int(row["seq"]), not ok)]
+    def step(self, state: Arrays, row: Arrays) -> tuple[Arrays, Arrays]:
+        first, hours = state["ts_ms"] < 0, (row["ts_ms"] - state["ts_ms"]) / 3_600_000
+        judged = ~first & (hours > 0)
+        kmh = metres(state["lat"], state["lon"], row["lat"], row["lon"], self.radius) / 1000 / np.where(judged, hours, 1.0)
+        reported = np.nan_to_num(row["speed_kmh"].astype(float))
+        odd = judged & (kmh > np.where(reported >= 2, np.maximum(self.most_kmh, self.factor * reported), self.most_kmh))
+        n = state["n"] + odd
+        lat_sum, lon_sum = state["lat_sum"] + np.where(odd, row["lat"], 0.0), state["lon_sum"] + np.where(odd, row["lon"], 0.0)
+        many = np.maximum(n, 1)
+        moved = odd & (n >= self.confirm) & (metres(lat_sum / many, lon_sum / many, row["lat"], row["lon"], self.radius) <= self.around_m)
+        trusted = first | moved | (judged & ~odd)
+        new = {k: np.where(trusted, row[k], state[k]) for k in ("ts_ms", "lat", "lon")}
+        new |= {"n": np.where(trusted, 0, n), "lat_sum": np.where(trusted, 0.0, lat_sum), "lon_sum": np.where(trusted, 0.0, lon_sum)}
+        return new, {"when": np.ones_like(odd), "suspect": odd & ~moved}
 
-    rows = telemetry.where("lat_e6 is not null and lon_e6 is not null").select("vehicle_pid", "ts_ms", "seq", "lat_e6", "lon_e6", "speed_kmh")
-    return fold(rows, "vehicle_pid", ["ts_ms", "seq"], step, "vehicle_pid string, ts_ms bigint, seq bigint, suspect boolean")
+
+def gps_filtered(telemetry: DataFrame) -> DataFrame:
+    """vehicle_pid, ts_ms, seq, suspect."""
+    rows = telemetry.where("lat_e6 is not null and lon_e6 is not null").withColumn("lat", F.col("lat_e6") / 1e6).withColumn("lon", F.col("lon_e6") / 1e6)
+    return run(rows, "vehicle_pid", ["ts_ms", "seq"], GpsMachine(), ["vehicle_pid", "ts_ms", "seq"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from motorcade.config import SAFETY, SCORE, SafetyConfig, ScoreConfig
 from motorcade.functions.ids import uuid3
-from motorcade.operators.fold import fold
+from motorcade.operators.lockstep import Cooldown, run
 
 WEIGHTS = {"HARSH_BRAKE": 3.0, "HARSH_ACCEL": 2.0, "HARSH_CORNER": 2.0}
 
@@ -36,29 +36,17 @@ def candidates(telemetry: DataFrame, c: SafetyConfig = SAFETY) -> DataFrame:
     return df.withColumn("severity", severity).withColumn("weight", weight)
 
 
-def cooled(df: DataFrame, cooldown_ms: int, keys: list[str], strict: bool = False) -> DataFrame:
-    """Rows kept when the last kept one of the same keys is at least (or, if strict, more than) cooldown_ms back. Columns stay.
+def cooled(df: DataFrame, cooldown_ms: int, key: str = "vehicle_pid", strict: bool = False) -> DataFrame:
+    """Rows kept when the last kept one of the same key is at least (or, if strict, more than) cooldown_ms back. Columns stay.
 
     Only candidates reach the sequential pass, and it holds one time per key."""
-    schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
-    key = keys[0]
-
-    def step(state, row):
-        state = state or {}
-        k = tuple(row[x] for x in keys[1:])
-        back = row["ts_ms"] - state.get(k, -(1 << 60))
-        if back > cooldown_ms if strict else back >= cooldown_ms:
-            state[k] = row["ts_ms"]
-            return state, [tuple(row.values())]
-        return state, []
-
-    return fold(df, key, ["ts_ms", "seq"], step, schema)
+    return run(df, key, ["ts_ms", "seq"], Cooldown(cooldown_ms, strict), df.columns)
 
 
 def safety_events(telemetry: DataFrame, c: SafetyConfig = SAFETY) -> DataFrame:
     """Events after the cooldown, which holds across types."""
     cols = ["vehicle_pid", "tenant_id", "ts_ms", "seq", "event_type", "severity", "speed_kmh", "accel_ms2", "weight"]
-    kept = cooled(candidates(telemetry, c).select(*cols), c.cooldown_ms, ["vehicle_pid"])
+    kept = cooled(candidates(telemetry, c).select(*cols), c.cooldown_ms)
     return kept.withColumn("event_id", uuid3(F.concat_ws(":", "vehicle_pid", F.col("ts_ms").cast("string"), "event_type")))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from motorcade.functions.privacy import laplace, uniform
-from motorcade.operators.fold import fold
 
 PRODUCTS = {"TRAFFIC_DENSITY": 6, "MOBILITY_FLOW": 5}
 
@@ -64,13 +67,23 @@ def link(previous: str, payload: str) -> str:
 
 def chained(entries: DataFrame, tenant: str = "tenant_id", order: str = "seq", payload: str = "payload") -> DataFrame:
     """Audit entries with their hash over the one before: H = sha256(H_before:payload), from 64 zeros. One chain per tenant."""
-    kind = dict(entries.dtypes)[tenant]
-
-    def step(state, row):
-        h = link(state or "0" * 64, row[payload])
-        return h, [(row[tenant], int(row[order]), row[payload], state or "0" * 64, h)]
-
-    return fold(entries.select(tenant, order, payload), tenant, [order], step, f"{tenant} {kind}, {order} bigint, {payload} string, prev_hash string, hash string")
+    rows = entries.where(F.col(tenant).isNotNull()).select(tenant, F.col(order).cast("bigint").alias(order), payload)
+    schema = StructType([*rows.schema.fields, StructField("prev_hash", StringType()), StructField("hash", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, last = None, ""
+        for b in batches:
+            hashes = []
+            for t, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if t != who:
+                    who, last = t, "0" * 64
+                hashes.append((last, link(last, text)))
+                last = hashes[-1][1]
+            before, after = zip(*hashes, strict=True) if hashes else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], schema=arrow)
+
+    return rows.repartition(tenant).sortWithinPartitions(tenant, order).mapInArrow(go, schema)
 
 
 def verified_chain(log: DataFrame, tenant: str = "tenant_id", order: str = "seq", payload: str = "payload") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from motorcade.operators import episodes, mapping, normalize, paging, safety
-from motorcade.operators.fold import fold
+from motorcade.operators import episodes, lockstep, mapping, normalize, paging, safety
 from motorcade.operators.trips import trips
 from motorcade.plans.base import query
 from motorcade.checkpoints import folder
@@ -215,19 +215,27 @@ def norm_delimited(spark, sf):
 # access and requests -----------------------------------------------------------------------------
 
 
-def bucket_step(state, row, rate: float = 10.0, most: float = 120.0):
-    """Token bucket: `rate` tokens a second up to `most`; a request takes one if there is one."""
-    tokens, last = state or (most, row["ts_ms"])
-    tokens = min(most, tokens + (row["ts_ms"] - last) / 1000 * rate)
-    ok = tokens >= 1
-    return (tokens - ok, row["ts_ms"]), [(row["vehicle_pid"], int(row["ts_ms"]), int(row["seq"]), ok)]
+class TokenBucket:
+    """`rate` tokens a second up to `most`; a request takes one if there is one."""
+
+    columns, schema = ("ts_ms",), "allowed boolean"
+    start = {"ts_ms": -1, "tokens": 0.0}
+
+    def __init__(self, rate: float = 10.0, most: float = 120.0):
+        self.rate, self.most = rate, most
+
+    def step(self, state, row):
+        filled = state["tokens"] + (row["ts_ms"] - state["ts_ms"]) / 1000 * self.rate
+        tokens = np.where(state["ts_ms"] < 0, self.most, np.minimum(self.most, filled))
+        allowed = tokens >= 1
+        return {"ts_ms": row["ts_ms"], "tokens": tokens - allowed}, {"when": np.ones_like(allowed), "allowed": allowed}
 
 
 @query("p_rate_limit")
 def p_rate_limit(spark, sf):
     """Requests a thousand times as fast as samples come, so that buckets run dry."""
     t = telemetry(spark, sf).select("vehicle_pid", (F.col("ts_ms") / 1000).cast("bigint").alias("ts_ms"), "seq")
-    out = fold(t, "vehicle_pid", ["ts_ms", "seq"], lambda s, row: bucket_step(s, row, 10.0, 5.0), "vehicle_pid string, ts_ms bigint, seq bigint, allowed boolean")
+    out = lockstep.run(t, "vehicle_pid", ["ts_ms", "seq"], TokenBucket(10.0, 5.0), ["vehicle_pid"])
     return out.groupBy("vehicle_pid").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))
 
 

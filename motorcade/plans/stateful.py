@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from motorcade.config import CLOCK_SKEW
 from motorcade.functions.geo import geohash
-from motorcade.operators import algorithms, episodes, geofence, live, order, paging, rollups, safety, sharing
-from motorcade.operators.fold import fold
+from motorcade.operators import algorithms, episodes, geofence, live, lockstep, order, paging, rollups, safety, sharing
 from motorcade.operators.trips import trips
 from motorcade.plans.base import ORACLE, query
 from motorcade.plans.relational import CHARGE, DELTAS, FENCE_SQL, IDLE, ISLANDS, LATEST, LIVE, STATUS, fences
@@ -112,7 +112,7 @@ recursive("st_alert_dtc", "x AS (SELECT vehicle_pid, ts_ms, seq, code FROM t WHE
 
 @query("st_cooldown")
 def st_cooldown(spark, sf):
-    return safety.cooled(telemetry(spark, sf).where("k < 30").select("vehicle_pid", "ts_ms", "seq"), 300_000, ["vehicle_pid"], strict=True)
+    return safety.cooled(telemetry(spark, sf).where("k < 30").select("vehicle_pid", "ts_ms", "seq"), 300_000, strict=True)
 
 
 recursive("st_cooldown", "x AS (SELECT vehicle_pid, ts_ms, seq FROM t WHERE k < 30), " + cooldown_sql("x", 300_000, True) + " SELECT vehicle_pid, ts_ms, seq FROM cooled")
@@ -677,18 +677,21 @@ def gen_driver_profile(spark, sf):
     return telemetry(spark, sf).select("vehicle_pid").distinct().select("vehicle_pid", F.get(u, F.lit(1)).alias("aggression"))
 
 
+class Battery:
+    columns, schema = ("charge_kw", "speed_kmh"), "soc double"
+    start = {"soc": 50.0}
+
+    def step(self, state, row):
+        soc = np.clip(state["soc"] + row["charge_kw"] / 60 * 5 - row["speed_kmh"] * 0.01, 0.0, 100.0)
+        return {"soc": soc}, {"when": np.ones(len(soc), bool), "soc": soc}
+
+
 @query("gen_physics")
 def gen_physics(spark, sf):
     """Charge after each step of driving and charging, between 0 and 100."""
 
-    def step(state, row):
-        soc = 50.0 if state is None else state
-        soc += row["charge_kw"] / 60 * 5 - row["speed_kmh"] * 0.01
-        soc = min(100.0, max(0.0, soc))
-        return soc, [(row["vehicle_pid"], int(row["ts_ms"]), int(row["seq"]), soc)]
-
     t = telemetry(spark, sf).select("vehicle_pid", "ts_ms", "seq", "charge_kw", "speed_kmh")
-    return fold(t, "vehicle_pid", ["ts_ms", "seq"], step, "vehicle_pid string, ts_ms bigint, seq bigint, soc double").withColumn("soc", rc(F.col("soc"), 6))
+    return lockstep.run(t, "vehicle_pid", ["ts_ms", "seq"], Battery(), ["vehicle_pid", "ts_ms", "seq"]).withColumn("soc", rc(F.col("soc"), 6))
 
 
 @query("q_live_status", f", {LATEST} SELECT {STATUS} AS status, count(*) AS n FROM l GROUP BY 1")

@@ -10,9 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from motorcade.operators.mapping import Registry
 from motorcade.operators.normalize import accepted, normalize, rejected
-from motorcade.schemas import TRIP as TRIP_SCHEMA
+from motorcade.operators.trips import finished
 from motorcade.sources.writers import batch_written, dead_letters
-from motorcade.streaming.processors import REORDERED, Reorder, Trips
+from motorcade.streaming.processors import REORDERED, TRIPS, Reorder, Trips
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -38,7 +38,7 @@ def reordered(events: DataFrame) -> DataFrame:
 
 
 def trips(clean: DataFrame) -> DataFrame:
-    return clean.groupBy("vehicle_pid").transformWithStateInPandas(Trips(), TRIP_SCHEMA, "Append", "None")
+    return finished(clean.groupBy("vehicle_pid").transformWithStateInPandas(Trips(), TRIPS, "Append", "None"))
 
 
 def ingest(raw: DataFrame, registry: DataFrame, mappings: Callable[[], Registry], clean_path: str, dead_path: str, checkpoint: str) -> StreamingQuery:

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from motorcade.config import REORDER, ReorderConfig
 from motorcade.operators import algorithms, episodes, geofence, live, order, phases, rollups, sharing
-from motorcade.operators.trips import trip_step, trips
+from motorcade.operators.lockstep import Lanes
+from motorcade.operators.trips import TripMachine, trips
 from motorcade.checkpoints import ensure
 from motorcade.plans.telemetry import telemetry
 from motorcade.sources import readers, writers
@@ -26,13 +28,19 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, COLS)
 
 
-def run_trips(rows):
+def run_machine(machine, rows):
+    """What a machine yields for samples of one vehicle, as dicts with the sample's number as `at`."""
     names = [c.split()[0] for c in COLS.split(", ")]
-    state, out = None, []
-    for r in rows:
-        state, made = trip_step(state, dict(zip(names, r, strict=True)))
-        out += made
-    return out
+    table = {n: [r[i] for r in rows] for i, n in enumerate(names)}
+    table |= {"odo_km": [None] * len(rows), "lat": [x / 1e6 for x in table["lat_e6"]], "lon": [x / 1e6 for x in table["lon_e6"]]}
+    number = lambda x: math.nan if x is None else float(x)
+    columns = {c: np.array([number(x) for x in table[c]]).astype(np.int64 if c == "ts_ms" else float) for c in machine.columns}
+    at, made = Lanes(machine).advance(np.zeros(len(rows), np.int64), columns)
+    return [{"at": int(i), **{k: v[n].item() for k, v in made.items()}} for n, i in enumerate(at)]
+
+
+def run_trips(rows):
+    return run_machine(TripMachine(), rows)
 
 
 def journey():
@@ -50,31 +58,37 @@ def test_jitter_makes_no_trip():
 def test_trip_closes_after_five_minutes(spark):
     rows = journey()
     assert not run_trips(rows)
-    done = run_trips([*rows, sample(361, 361, 0.0, 13_003_000), sample(362, 362, 0.0, 13_003_000)])
-    assert len(done) == 1 and done[0][-1] == "COMPLETED"
-    got = trips(frame(spark, [*rows, sample(361, 361, 0.0, 13_003_000), sample(362, 362, 0.0, 13_003_000)])).collect()
-    assert [tuple(r) for r in got] == done
+    rows = [*rows, sample(361, 361, 0.0, 13_003_000), sample(362, 362, 0.0, 13_003_000)]
+    done = run_trips(rows)
+    assert len(done) == 1 and not done[0]["cut"]
+    got = trips(frame(spark, rows)).collect()
+    assert [(r.start_ms, r.end_ms, r.status) for r in got] == [(done[0]["start_ms"], done[0]["end_ms"], "COMPLETED")] and got[0].distance_km > 0.25
 
 
 def test_unknown_ignition_and_gap():
     rows = [(*r[:7], None, *r[8:]) for r in journey()[:62]]
-    assert [t[-1] for t in run_trips([*rows, sample(99, 70, 0.0, 13_003_000, on=None)])] == ["COMPLETED"]
-    assert [t[-1] for t in run_trips([*journey()[:61], sample(99, 2000, 35.0, 13_003_000)])] == ["TRUNCATED"]
+    assert [t["cut"] for t in run_trips([*rows, sample(99, 70, 0.0, 13_003_000, on=None)])] == [False]
+    assert [t["cut"] for t in run_trips([*journey()[:61], sample(99, 2000, 35.0, 13_003_000)])] == [True]
 
 
-def test_trips_fold_equals_loop(spark):
-    t = telemetry(spark, SF)
-    cols = t.columns
-    by = {}
-    for r in t.orderBy("ts_ms", "seq").collect():
-        by.setdefault(r.vehicle_pid, []).append(r)
-    want = []
-    for rows in by.values():
-        state = None
-        for r in rows:
-            state, made = trip_step(state, dict(zip(cols, r, strict=True)))
-            want += made
-    assert sorted(map(tuple, trips(t).collect())) == sorted(want) and want
+def test_lanes_do_not_meet(spark):
+    """Vehicles taken together, in batches of any size, give what each gives alone."""
+    rows = [r.asDict() for r in telemetry(spark, SF).orderBy("ts_ms", "seq").collect()]
+    machine = TripMachine()
+    columns = {c: np.array([math.nan if r.get(c) is None else float(r[c]) for r in rows]).astype(np.int64 if c == "ts_ms" else float) for c in machine.columns}
+    keys = np.array([r["vehicle_pid"] for r in rows], object)
+
+    def found(parts):
+        out = []
+        lanes = {}
+        for name, at in parts:
+            i, made = lanes.setdefault(name, Lanes(machine)).advance(keys[at], {c: v[at] for c, v in columns.items()})
+            out += [(keys[at[n]], *(made[k][m].item() for k in made)) for m, n in enumerate(i)]
+        return sorted(out)
+
+    alone = found([(k, np.flatnonzero(keys == k)) for k in sorted(set(keys))])
+    assert alone and alone == found([("all", np.arange(len(keys)))]) == found([("all", np.arange(i, min(i + 77, len(keys)))) for i in range(0, len(keys), 77)])
+    assert len(alone) == trips(telemetry(spark, SF)).count()
 
 
 def test_idle_and_red_light(spark):
@@ -103,38 +117,53 @@ def test_fence_hysteresis_and_tow(spark):
     assert len(tow) == 1 and tow[0].moved_m > 300
 
 
-def test_phases_give_reasons():
-    names = [c.split()[0] for c in COLS.split(", ")]
-
-    def run(step, rows):
-        state, out = None, []
-        for r in rows:
-            state, made = step(state, dict(zip(names, r, strict=True)))
-            out += made
-        return out
-
+def test_phases_give_reasons(spark):
+    run = lambda rows: [phases.REASONS[t["reason"]] for t in run_machine(phases.PhaseMachine(), rows)]
     drive = [sample(0, 0)] + [sample(i, i, 35.0, 13_000_000 + 50 * i) for i in range(1, 61)]
-    assert [t[-1] for t in run(phases.phase_step, [*drive, sample(99, 61, 0.0, 13_003_000, on=False)])] == ["IGNITION_OFF"]
-    assert not run(phases.phase_step, [*drive[:20], sample(99, 21, 0.0, on=False)])
+    assert run([*drive, sample(99, 61, 0.0, 13_003_000, on=False)]) == ["IGNITION_OFF"]
+    assert not run([*drive[:20], sample(99, 21, 0.0, on=False)])
+    assert run([*drive, sample(99, 1000, 35.0, 13_003_000)]) == ["DATA_GAP"]
+    unknown = [sample(60 + i, 60 + i, 0.0, 13_003_000, on=None) for i in range(1, 310)]
+    assert run([*drive, *unknown]) == ["STATIONARY_TIMEOUT"] and not run([*drive, *unknown[:290]])
+    assert not run([*drive, *[sample(60 + i, 60 + 10 * i, 0.0, 13_003_000) for i in range(1, 200)]])
     idle = [sample(i, 10 * i) for i in range(20)]
-    assert [(e[-1], e[3]) for e in run(phases.idle_step, [*idle, sample(99, 200, 30.0)])] == [("SPEED_RESUME", 200.0)]
+    runs = lambda rows: [r.asDict() for r in phases.phase_idles(frame(spark, rows)).orderBy("start_ms").collect()]
+    assert [(e["reason"], e["duration_s"]) for e in runs([*idle, sample(99, 200, 30.0)])] == [("SPEED_RESUME", 200.0)]
+    assert [e["reason"] for e in runs([*idle, sample(99, 300)])] == ["GAP"] and [e["reason"] for e in runs([*idle, sample(99, 200, on=False)])] == ["IGNITION_OFF"]
     twice = [*idle, sample(50, 200, 30.0), *[sample(60 + i, 210 + 10 * i) for i in range(20)], sample(99, 410, 30.0)]
-    first, second = run(phases.idle_step, twice)
-    assert second[6] == pytest.approx(first[6], rel=0.1)
+    first, second = runs(twice)
+    assert second["cost"] == pytest.approx(first["cost"], rel=0.1) and not runs(idle)
+
+
+def plain_buffer(events, c):
+    """Arrival by arrival with the whole buffer looked through each time."""
+    inside, out, late, top, gone = [], [], [], -1, -1
+    for i, (ts, seq) in enumerate(events):
+        if ts <= gone:
+            late.append(i)
+            continue
+        top, inside = max(top, ts), sorted([*inside, (ts, seq, i)])
+        while inside and (inside[0][0] <= top - c.lateness_ms or len(inside) > c.capacity):
+            gone = inside[0][0]
+            out.append(inside.pop(0)[2])
+    return out, late, [x[2] for x in inside]
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60_000), st.integers(0, 1000)), max_size=60), st.integers(1, 20))
 def test_reorder_is_sorted_and_complete(events, capacity):
-    b, c = order.Buffer(), ReorderConfig(lateness_ms=5000, capacity=capacity)
-    clean, late = [], 0
-    for n, (ts, seq) in enumerate(events):
-        out, behind = b.push(ts, seq, (ts, n), c)
-        clean += out
-        late += behind
-    clean += b.flush()
-    assert len(clean) + late == len(events)
-    assert [t for t, _ in clean] == sorted(t for t, _ in clean) and len(set(clean)) == len(clean)
+    c = ReorderConfig(lateness_ms=5000, capacity=capacity)
+    for cuts in ([len(events)], range(0, len(events) + 1, 7)):
+        held, mark, out, late, begin = [], order.Mark(), [], [], 0
+        for end in [*cuts, len(events)]:
+            now = [*held, *range(begin, end)]
+            ts, seq = (np.array([events[i][k] for i in now], np.int64) for k in (0, 1))
+            a, b, stay, mark = order.released(ts, seq, len(held), mark, c)
+            out, late, held, begin = [*out, *(now[i] for i in a)], [*late, *(now[i] for i in b)], sorted((now[i] for i in stay), key=lambda i: (*events[i], i)), end
+        want = plain_buffer(events, c)
+        by = lambda x: [events[i] for i in x]
+        assert (by(out), by(late), by(held)) == tuple(map(by, want))
+        assert [events[i][0] for i in out] == sorted(events[i][0] for i in out)
 
 
 def test_reordered_frame(spark):
@@ -149,20 +178,15 @@ def test_reordered_frame(spark):
     assert all(r.quality & 2 for r in got if r.route == "late") and REORDER.lateness_ms == 10_000
 
 
-def test_sequence_window():
-    w = order.SequenceWindow(8)
-    assert [w.judge(s) for s in (5, 6, 5, 20, 19, 19, 2, 13)] == ["NEW", "NEW", "DUPLICATE", "NEW", "NEW", "DUPLICATE", "OUT_OF_WINDOW", "NEW"]
+def test_sequence_window(spark):
+    df = spark.createDataFrame([("v", s, i) for i, s in enumerate((5, 6, 5, 20, 19, 19, 2, 13))], "vehicle_pid string, seq long, arrival long")
+    got = [r.verdict for r in order.judged(df, "arrival", 8).orderBy("arrival").collect()]
+    assert got == ["NEW", "NEW", "DUPLICATE", "NEW", "NEW", "DUPLICATE", "OUT_OF_WINDOW", "NEW"]
 
 
 def test_gps_filter_relocates():
-    s, ok = order.gps_step(None, 0, 13.0, 80.0, 30.0)
-    s, ok = order.gps_step(s, 1000, 13.0001, 80.0, 30.0)
-    assert ok
-    verdicts = []
-    for i in range(3):
-        s, ok = order.gps_step(s, 2000 + i * 1000, 14.0, 80.0, 30.0)
-        verdicts.append(ok)
-    assert verdicts == [False, False, True]
+    rows = [sample(0, 0, 30.0, 13_000_000), sample(1, 1, 30.0, 13_000_100), *[sample(i, i, 30.0, 14_000_000) for i in range(2, 6)], sample(6, 5, 30.0, 0)]
+    assert [x["suspect"] for x in run_machine(order.GpsMachine(), rows)] == [False, False, True, True, False, False, False]
 
 
 def cost_of(labels, speeds, theta=5.0, lam=8.0):

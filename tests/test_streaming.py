@@ -9,7 +9,7 @@ from motorcade.sources import readers
 from motorcade.streaming import pipeline
 
 SF = "/root/testdata/sf0.001"
-VIN = "1HGCR2F83HA000001"
+VIN = "1M8GDM9AXKP042788"
 
 
 def files(df, path, n=3):
@@ -81,18 +81,18 @@ def test_ingest_takes_new_mappings_without_restart(spark, tmp_path):
     (tmp_path / "in").mkdir()
 
     def send(name, oem, payload):
-        (tmp_path / "in" / name).write_text(json.dumps({"oem": oem, "schema_ver": None, "recv_ms": 1790331302120, "raw": json.dumps(payload)}) + "\n")
+        (tmp_path / "in" / name).write_text(json.dumps({"oem": oem, "schema_ver": None, "recv_ms": 1767439805250, "raw": json.dumps(payload)}) + "\n")
 
     def go():
         q = pipeline.ingest(readers.raw_files(spark, str(tmp_path / "in")), reg, lambda: mappings, str(tmp_path / "clean"), str(tmp_path / "dead"), str(tmp_path / "check"))
         q.awaitTermination(120)
 
-    send("a.json", "E", {"vin": VIN, "t": "2026-09-25T10:15:02.120Z", "lat": 13.0, "lon": 80.0, "spd": 10.0, "soc": 40.0})
-    send("b.json", "F", {"id": VIN, "when": 1790331302120})
+    send("a.json", "E", {"vin": VIN, "t": "2026-01-03T11:30:05.250Z", "lat": 13.0, "lon": 80.0, "spd": 10.0, "soc": 40.0})
+    send("b.json", "F", {"id": VIN, "when": 1767439805250})
     go()
     assert spark.read.parquet(str(tmp_path / "clean")).count() == 1
     mappings.register({"oem": "F", "schema_ver": 1, "format": "json", "vin_field": "id", "fields": {"ts_event": {"source": "when", "transform": "direct", "required": True}}})
-    send("c.json", "F", {"id": VIN, "when": 1790331302120})
+    send("c.json", "F", {"id": VIN, "when": 1767439805250})
     go()
     assert spark.read.parquet(str(tmp_path / "clean")).count() == 2
     dead = spark.read.parquet(str(tmp_path / "dead"))
