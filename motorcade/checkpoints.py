@@ -8,9 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def ensure(spark: SparkSession) -> None:
-    """Use the folder that spark.checkpoint.dir names; set a temporary one only where it is unset (tests)."""
+    """Use the folder that spark.checkpoint.dir names. Where it is unset a temporary one is set, if driver and executors are
+    one machine (tests); on a cluster that would lose data."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="motorcade-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="motorcade-"))
 
 
 def folder(spark: SparkSession, name: str) -> str:

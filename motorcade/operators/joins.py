@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motorcade.checkpoints import folder
+from motorcade.functions.geo import EARTH_M, haversine
+
 
 def split_known(df: DataFrame, registry: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(rows with the registry's columns, rows that the registry lacks)."""
@@ -45,13 +48,43 @@ def with_latest(keys: DataFrame, facts: DataFrame, key: str, order: list[Column]
     return keys.join(best, key, "left")
 
 
-def nearest(points: DataFrame, places: DataFrame, k: int, distance: Column, point_id: str, place_id: str, most: int = 10_000) -> DataFrame:
-    """The k nearest places of each point. Every point is held against every place, so places are counted first: more than
-    `most` are refused, and up to that many are broadcast. Larger sets go through map cells (see geofence)."""
-    if places.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} places")
+def nearest(points: DataFrame, places: DataFrame, k: int, point_id: str, place_id: str, finest: int = 13) -> DataFrame:
+    """The k nearest places of each point (both with lat and lon): point_id, place_id, distance and rank.
+
+    Points meet the places of their own and the eight cells around, of a grid of 2**finest columns. Points whose k-th
+    place lies within a cell's width are done; the others go on with cells of twice the size."""
+    spark = points.sparkSession
+    done, left = [], points.select(point_id, F.col("lat").alias("plat"), F.col("lon").alias("plon"))
+    places = places.select(place_id, "lat", "lon")
     w = Window.partitionBy(point_id).orderBy("distance", place_id)
-    return points.crossJoin(F.broadcast(places)).withColumn("distance", distance).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    for bits in range(finest, -1, -1):
+        n, size = 1 << bits, 360.0 / (1 << bits)
+        cell = lambda lat, lon: (F.floor((F.col(lat) + 90) / size), F.pmod(F.floor((F.col(lon) + 180) / size), F.lit(n)))  # noqa: B023, E731
+        y, x = cell("plat", "plon")
+        around = F.array_distinct(F.array(*[F.struct((y + dy).alias("y"), F.pmod(x + dx, F.lit(n)).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]))
+        cy, cx = cell("lat", "lon")
+        met = left.withColumn("c", F.explode(around)).select(point_id, "plat", "plon", "c.*").join(places.withColumns({"y": cy, "x": cx}), ["y", "x"])
+        met = met.withColumn("distance", haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon"))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        path = folder(spark, "nearest")
+        met.select(point_id, place_id, "distance", "rank", "plat", "plon").write.parquet(path)
+        met = spark.read.parquet(path)
+        if not bits:
+            done.append(met)
+            break
+        # what no cell around holds lies at least a cell's width away; degrees of longitude shrink towards the poles
+        near = F.radians(F.lit(0.99 * size)) * EARTH_M * F.cos(F.radians(F.least(F.lit(90.0), F.abs("plat") + size)))
+        full = met.where((F.col("rank") == k) & (F.col("distance") <= near)).select(point_id)
+        done.append(met.join(full, point_id, "left_semi"))
+        left = left.join(full, point_id, "left_anti")
+        path = folder(spark, "points")
+        left.write.parquet(path)
+        left = spark.read.parquet(path)
+        if left.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select(point_id, place_id, "distance", "rank")
 
 
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, value: str) -> DataFrame:

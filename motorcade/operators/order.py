@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import insort
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -190,3 +191,18 @@ def gps_filtered(telemetry: DataFrame) -> DataFrame:
     """vehicle_pid, ts_ms, seq, suspect."""
     rows = telemetry.where("lat_e6 is not null and lon_e6 is not null").withColumn("lat", F.col("lat_e6") / 1e6).withColumn("lon", F.col("lon_e6") / 1e6)
     return run(rows, "vehicle_pid", ["ts_ms", "seq"], GpsMachine(), ["vehicle_pid", "ts_ms", "seq"])
+
+
+def bloom_seen(df: DataFrame, group: list[str], key: str, arrival: str, rotate_ms: int, expected: int, error: float) -> DataFrame:
+    """The rows with `seen`: whether a Bloom filter of the group's current or last rotation, sized for `expected` keys at an
+    error rate, held the key when the row arrived. Never false for a key that came in those rotations before."""
+    m = max(8, math.ceil(-expected * math.log(error) / math.log(2) ** 2))
+    k = max(1, round(m / expected * math.log(2)))
+    h1, h2 = F.pmod(F.xxhash64(key), F.lit(m)), F.pmod(F.xxhash64(F.lit(1), F.col(key)), F.lit(m)).bitwiseOR(F.lit(1))
+    bits = F.array_distinct(F.array(*[F.pmod(h1 + h2 * i, F.lit(m)).cast("int") for i in range(k)]))
+    turn = F.floor(F.col(arrival) / rotate_ms)
+    rows = df.withColumn("_row", F.struct(*df.columns)).select("_row", *group, turn.alias("_turn"), F.col(arrival).alias("_at"), F.explode(bits).alias("_bit"))
+    own = F.min("_at").over(Window.partitionBy(*group, "_bit", "_turn"))
+    last = F.max("_turn").over(Window.partitionBy(*group, "_bit").orderBy("_turn").rangeBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_own", own < F.col("_at")).withColumn("_last", F.coalesce(last == F.col("_turn") - 1, F.lit(False)))
+    return rows.groupBy("_row", "_at").agg((F.every("_own") | F.every("_last")).alias("seen")).select("_row.*", "seen")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from motorcade.functions import access
 from motorcade.operators import episodes, lockstep, mapping, normalize, paging, safety
 from motorcade.operators.trips import trips
 from motorcade.plans.base import query
@@ -239,6 +240,25 @@ def p_rate_limit(spark, sf):
     return out.groupBy("vehicle_pid").agg(F.count("*").alias("requests"), F.count_if("allowed").alias("allowed"))
 
 
+@query("p_jwt")
+def p_jwt(spark, sf):
+    """Tokens as requests might bring them: some signed with another key, some for another algorithm, some too old."""
+    t, k = telemetry(spark, sf), F.col("k")
+    token = access.token(F.to_json(F.struct(F.col("vehicle_pid").alias("sub"), F.floor(F.col("ts_ms") / 1000).alias("exp"))), "shared key")
+    forged = access.token(F.to_json(F.struct(F.col("vehicle_pid").alias("sub"), F.floor(F.col("ts_ms") / 1000).alias("exp"))), "other key")
+    token = F.when(k % 7 == 0, forged).when(k % 11 == 0, F.concat(F.lit("e30."), F.split_part(token, F.lit("."), F.lit(2)), F.lit(".x"))).when(k % 13 == 0, "no token").otherwise(token)
+    claims = access.claims(token, "shared key", F.lit(T0_MS // 1000 + 2000))
+    return t.select("event_id", claims.alias("c")).select("event_id", "c.verdict", "c.sub")
+
+
+@query("p_mtls", "SELECT event_id, k % 3 = 0 OR k % 3 = 1 AND tenant_id IN (0, 1) AS allowed FROM t")
+def p_mtls(spark, sf):
+    """Subjects of client certificates against an allow-list of common names."""
+    t, k = telemetry(spark, sf), F.col("k")
+    subject = F.when(k % 3 == 0, "O=x, CN=gateway-1,C=DE").when(k % 3 == 1, F.concat(F.lit("cn=tenant-"), F.col("tenant_id"), F.lit(", O=CN=gateway-1"))).otherwise("O=gateway-1")
+    return t.select("event_id", access.listed(subject, ["gateway-1", "tenant-0", "tenant-1"]).alias("allowed"))
+
+
 @query("p_rbac", "SELECT event_id, k % 4 IN (0, 1) AS allowed FROM t")
 def p_rbac(spark, sf):
     """Allowed: the platform's administrator, or any role of the list."""
@@ -281,13 +301,8 @@ def q_alert_stream(spark, sf):
     return spark.read.schema("event_id bigint").parquet(out)
 
 
-@query("q_page_after", "SELECT o_orderkey FROM orders WHERE o_orderkey < 500 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10", telemetry=False)
+@query("q_page_after", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10 OFFSET 10", telemetry=False)
 def q_page_after(spark, sf):
-    return paging.keyset_page(table(spark, sf, "orders").where("o_orderkey < 500"), "o_orderdate", "o_orderkey", 10).select("o_orderkey")
-
-
-@query("q_page_next", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10 OFFSET 10", telemetry=False)
-def q_page_next(spark, sf):
     """The second page of all orders, behind the first one's last row."""
     orders = table(spark, sf, "orders")
     last = paging.keyset_page(orders, "o_orderdate", "o_orderkey", 10).select("o_orderdate", "o_orderkey").collect()[-1]

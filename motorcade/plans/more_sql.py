@@ -132,3 +132,48 @@ g AS (SELECT vehicle_pid, day, rn, n, ({_FIT_M})::DOUBLE AS cm, ({_FIT_S})::DOUB
 b AS (SELECT vehicle_pid, day, rn, CASE WHEN cm <= cs THEN 0 ELSE 1 END AS s, fm, fs FROM g WHERE rn = n UNION ALL
   SELECT g.vehicle_pid, g.day, g.rn, CASE WHEN b.s = 0 THEN b.fm ELSE b.fs END, g.fm, g.fs FROM b JOIN g ON g.vehicle_pid = b.vehicle_pid AND g.day = b.day AND g.rn = b.rn - 1)
 SELECT vehicle_pid, ts_ms, seq, CASE WHEN s = 0 THEN 'MOVING' ELSE 'STOPPED' END AS label FROM b JOIN num USING (vehicle_pid, day, rn)"""
+
+
+ORACLE["st_silent_flush"] = f"WITH r AS ({ORACLE['st_reorder']}), x AS (SELECT *, max(ts_ms) OVER (PARTITION BY vehicle_pid) AS top FROM r) SELECT vehicle_pid, ts_ms, seq, position FROM x WHERE route = 'clean' AND ts_ms > top - 10000"
+
+_ORDERED = "WINDOW w AS (PARTITION BY vehicle_pid ORDER BY ts_ms, seq)"
+ORACLE["st_idle_py"] = f"""WITH {TELEMETRY}, x AS (SELECT *, ignition AND speed_kmh < 2 AS idle, (ts_ms - lag(ts_ms) OVER w) / 1000.0 AS step FROM t {_ORDERED}),
+y AS (SELECT *, idle AND (NOT coalesce(lag(idle) OVER w, false) OR step > 600) AS first FROM x {_ORDERED}),
+z AS (SELECT *, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY vehicle_pid ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING) AS run, lead(ts_ms) OVER w AS next_ms, lead(ignition) OVER w AS next_on FROM y {_ORDERED}),
+g AS (SELECT vehicle_pid, min(ts_ms) AS start_ms, max(ts_ms) AS last_ms, max(next_ms) AS end_ms, bool_or(next_ms IS NULL) AS open, arg_max(coalesce(next_on, false), (ts_ms, seq)) AS next_on, sum(CASE WHEN first THEN 0.0 ELSE step END) / 3600.0 AS hours FROM z WHERE idle GROUP BY vehicle_pid, run)
+SELECT vehicle_pid, start_ms, end_ms, {r('(end_ms - start_ms) / 1000.0', 10)} AS duration_s, {r('1.5 * hours', 10)} AS fuel_l, 0.0::DOUBLE AS energy_kwh, {r('1.5 * hours * 1.45', 10)} AS cost, {r('1.5 * hours * 2.31', 10)} AS co2_kg,
+CASE WHEN end_ms - last_ms > 600000 THEN 'GAP' WHEN next_on THEN 'SPEED_RESUME' ELSE 'IGNITION_OFF' END AS reason FROM g WHERE NOT open AND (last_ms - start_ms) / 1000.0 >= 120"""
+
+# Three phases (0 parked, 1 driving, 2 standing with the engine on); these samples always have a place and an ignition.
+_FAR = "12742176.0 * asin(sqrt(least(1.0, pow(sin(radians(n.lat - {a}) / 2), 2) + cos(radians({a})) * cos(radians(n.lat)) * pow(sin(radians(n.lon - {b}) / 2), 2))))"
+ORACLE["st_trip_fsm_py"] = _stepped(
+    "SELECT vehicle_pid, ts_ms, seq, lat_e6 / 1e6 AS lat, lon_e6 / 1e6 AS lon, speed_kmh, ignition, row_number() OVER (PARTITION BY vehicle_pid ORDER BY ts_ms, seq) AS rn FROM t",
+    "0 AS phase, lat AS llat, lon AS llon, CASE WHEN speed_kmh < 5 THEN lat END AS alat, CASE WHEN speed_kmh < 5 THEN lon END AS alon, CASE WHEN speed_kmh >= 5 THEN ts_ms END AS moving, 0::BIGINT AS start, 0.0::DOUBLE AS km, 0.0::DOUBLE AS idle, NULL::VARCHAR AS reason, 0::BIGINT AS c_start, 0.0::DOUBLE AS c_km, 0.0::DOUBLE AS c_idle",
+    "CASE WHEN done THEN 0 WHEN begun OR (phase = 2 AND speed_kmh >= 5) THEN 1 WHEN phase = 1 AND speed_kmh < 1 THEN 2 ELSE phase END, lat, lon, CASE WHEN done OR (phase = 0 AND speed_kmh < 5) THEN lat ELSE alat END, CASE WHEN done OR (phase = 0 AND speed_kmh < 5) THEN lon ELSE alon END, moving2, CASE WHEN begun THEN moving2 ELSE start END, CASE WHEN begun OR done THEN 0.0 ELSE km2 END, CASE WHEN begun OR done THEN 0.0 ELSE idle2 END, CASE WHEN lost THEN 'DATA_GAP' WHEN done THEN 'IGNITION_OFF' END, start, km2, idle2",
+    "SELECT *, phase = 0 AND speed_kmh >= 5 AND ((ts_ms - moving2) / 1000.0 >= 10 OR coalesce(away, 0.0) > 50) AS begun, lost OR (phase > 0 AND NOT ignition) AS done, km + CASE WHEN phase = 1 AND NOT lost AND secs > 0 THEN hop / 1000 ELSE 0.0 END AS km2, idle + CASE WHEN phase = 2 THEN secs ELSE 0.0 END AS idle2 FROM (SELECT f.vehicle_pid, n.rn, n.ts_ms, n.seq, n.lat, n.lon, n.speed_kmh, n.ignition, f.phase, f.alat, f.alon, f.start, f.km, f.idle, CASE WHEN f.phase = 0 AND n.speed_kmh >= 5 THEN coalesce(f.moving, n.ts_ms) END AS moving2, (n.ts_ms - f.ts_ms) / 1000.0 AS secs, f.phase = 1 AND n.ts_ms - f.ts_ms > 900000 AS lost, "
+    + "CASE WHEN f.alat IS NOT NULL THEN " + _FAR.format(a="f.alat", b="f.alon") + " END AS away, " + _FAR.format(a="f.llat", b="f.llon") + " AS hop FROM f JOIN num n ON n.vehicle_pid = f.vehicle_pid AND n.rn = f.rn + 1)",
+    f"SELECT vehicle_pid, c_start AS start_ms, ts_ms AS end_ms, {r('c_km', 6)} AS distance_km, {r('c_idle')} AS idle_s, reason AS end_reason FROM f WHERE reason IS NOT NULL AND (ts_ms - c_start) / 1000.0 >= 30",
+)
+
+
+def _snap_sql() -> str:
+    from motorcade.operators.algorithms import grid_graph
+    from motorcade.plans.telemetry import haversine_sql
+
+    deg = 500.0 / 111_000.0
+    nodes = ", ".join(f"({n}, {lat!r}::DOUBLE, {lon!r}::DOUBLE)" for n, lat, lon in grid_graph(GRID)[0])
+    cell = lambda x: f"CAST(trunc({x} / {deg!r}) AS BIGINT)"
+    return f"""WITH {TELEMETRY}, n AS (SELECT *, {cell('nlat')} AS ci, {cell('nlon')} AS cj FROM (VALUES {nodes}) x(node, nlat, nlon)),
+p AS (SELECT event_id AS point_id, {LAT} AS lat, {LON} - 0.2 AS lon FROM t), q AS (SELECT *, {cell('lat')} AS pi, {cell('lon')} AS pj FROM p),
+d AS (SELECT point_id, CAST(node AS INTEGER) AS node, greatest(abs(ci - pi), abs(cj - pj)) AS ring, {haversine_sql('lat', 'lon', 'nlat', 'nlon', 6_371_088.0)} AS m FROM q JOIN n ON abs(ci - pi) <= 3 AND abs(cj - pj) <= 3)
+SELECT point_id, node, {r('m')} AS distance_m FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY ring, m, node) AS k FROM d) WHERE k = 1"""
+
+
+ORACLE["graph_snap"] = _snap_sql()
+
+_B64 = "rtrim(translate(base64({x}), '+/', '-_'), '=')"
+_BODY = "'eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.' || " + _B64.format(x="""encode('{"sub":"' || vehicle_pid || '","exp":' || ts_ms // 1000 || '}')""")
+ORACLE["p_jwt"] = f"""WITH {TELEMETRY}, b AS (SELECT *, {_BODY} AS body FROM t), s AS (SELECT *, body || '.' || {_B64.format(x="unhex(" + _hmac('body', 'shared key') + ")")} AS good, body || '.' || {_B64.format(x="unhex(" + _hmac('body', 'other key') + ")")} AS forged FROM b),
+k AS (SELECT *, CASE WHEN k % 7 = 0 THEN forged WHEN k % 11 = 0 THEN 'e30.x.x' WHEN k % 13 = 0 THEN 'no token' ELSE good END AS token FROM s),
+v AS (SELECT event_id, vehicle_pid, CASE WHEN len(string_split(token, '.')) <> 3 THEN 'MALFORMED' WHEN NOT starts_with(token, 'eyJhbGciOiJIUzI1NiI') THEN 'BAD_ALGORITHM' WHEN token <> good THEN 'BAD_SIGNATURE' WHEN ts_ms // 1000 <= {1_704_067_200 + 2000} THEN 'EXPIRED' ELSE 'OK' END AS verdict FROM k)
+SELECT event_id, verdict, CASE WHEN verdict = 'OK' THEN vehicle_pid END AS sub FROM v"""

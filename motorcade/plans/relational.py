@@ -101,9 +101,9 @@ def j_range_tariff(spark, sf):
 
 @query("j_nearest_charger", f", {LATEST}, c AS (SELECT CAST(i AS INTEGER) AS charger, 13.0 + i * 0.01 AS clat, 80.2 + (i % 5) * 0.03 AS clon FROM range(0, 12) x(i)), d AS (SELECT vehicle_pid, charger, {haversine_sql(LAT, LON, 'clat', 'clon')} AS m FROM l, c) SELECT vehicle_pid, charger, rank FROM (SELECT *, row_number() OVER (PARTITION BY vehicle_pid ORDER BY m, charger) AS rank FROM d) WHERE rank <= 3")
 def j_nearest_charger(spark, sf):
-    c = spark.range(12).select(F.col("id").cast("int").alias("charger"), (13.0 + F.col("id") * 0.01).alias("clat"), (80.2 + (F.col("id") % 5) * 0.03).alias("clon"))
-    d = haversine(F.expr(LAT), F.expr(LON), F.col("clat"), F.col("clon"))
-    return joins.nearest(live.latest(telemetry(spark, sf)), c, 3, d, "vehicle_pid", "charger").select("vehicle_pid", "charger", F.col("rank").cast("bigint").alias("rank"))
+    c = spark.range(12).select(F.col("id").cast("int").alias("charger"), (13.0 + F.col("id") * 0.01).alias("lat"), (80.2 + (F.col("id") % 5) * 0.03).alias("lon"))
+    v = live.latest(telemetry(spark, sf)).select("vehicle_pid", F.expr(LAT).alias("lat"), F.expr(LON).alias("lon"))
+    return joins.nearest(v, c, 3, "vehicle_pid", "charger").select("vehicle_pid", "charger", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("j_anti_erasure", "SELECT event_id FROM t WHERE CAST(vehicle_pid AS INTEGER) % 7 <> 0")
@@ -501,20 +501,10 @@ def sink_mongo_upsert(spark, sf):
     return writers.documents_upserted(old, new, "vehicle_pid", "created")
 
 
-@query("sink_dlq", "SELECT count(*) AS n, 'MALFORMED' AS reason_code FROM t WHERE event_id % 50 = 0")
+@query("sink_dlq", """SELECT count(*) AS n, reason_code FROM (SELECT CASE WHEN event_id % 50 = 0 THEN 'MALFORMED' WHEN event_id % 51 = 0 AND k % 6 <> 3 THEN 'UNKNOWN_OEM' WHEN CAST(vehicle_pid AS INTEGER) % 11 = 0 THEN 'UNKNOWN_VEHICLE' END AS reason_code FROM t) WHERE reason_code IS NOT NULL GROUP BY 2""")
 def sink_dlq(spark, sf):
     from motorcade.operators.normalize import normalize, rejected
     from motorcade.plans.scalars import payloads, registry
 
-    dead = writers.dead_letters(rejected(normalize(payloads(spark, sf).where("event_id % 50 = 0"), registry(spark, sf))))
-    return dead.groupBy("reason_code").agg(F.count("*").alias("n"))
-
-
-@query("sink_dlq_all", """SELECT count(*) AS n, reason_code FROM (SELECT CASE WHEN event_id % 50 = 0 THEN 'MALFORMED' WHEN event_id % 51 = 0 AND k % 6 <> 3 THEN 'UNKNOWN_OEM' WHEN CAST(vehicle_pid AS INTEGER) % 11 = 0 THEN 'UNKNOWN_VEHICLE' END AS reason_code FROM t) WHERE reason_code IS NOT NULL GROUP BY 2""")
-def sink_dlq_all(spark, sf):
-    """sink_dlq is given the broken payloads only, as its SQL says; this rejects from all payloads."""
-    from motorcade.operators.normalize import normalize, rejected
-    from motorcade.plans.scalars import payloads, registry
-
     dead = writers.dead_letters(rejected(normalize(payloads(spark, sf), registry(spark, sf))))
     return dead.groupBy("reason_code").agg(F.count("*").alias("n"))

@@ -215,7 +215,7 @@ def geo_decode(spark, sf):
 def _neighbours_sql() -> str:
     y, x = "floor((lat_e6 / 1e6 + 90.0) / 180.0 * 32768)", "floor((lon_e6 / 1e6 + 180.0) / 360.0 * 32768)"
     near = [geohash_sql(f"(({y} + {dy} + 0.5) * 180.0 / 32768 - 90.0)", f"(({x} + {dx} + 0.5) * 360.0 / 32768 - 180.0)", 6) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
-    return f"SELECT event_id, array_to_string(list_sort([{', '.join(near)}]), ',') AS near FROM t WHERE event_id < 2000"
+    return f"SELECT event_id, array_to_string(list_sort([{', '.join(near)}]), ',') AS near FROM t"
 
 
 def _neighbours(t):
@@ -224,12 +224,6 @@ def _neighbours(t):
 
 @query("geo_neighbors", _neighbours_sql())
 def geo_neighbors(spark, sf):
-    return _neighbours(telemetry(spark, sf).where("event_id < 2000"))
-
-
-@query("geo_neighbors_all", _neighbours_sql().replace(" WHERE event_id < 2000", ""))
-def geo_neighbors_all(spark, sf):
-    """geo_neighbors stops where its SQL does; this gives all rows."""
     return _neighbours(telemetry(spark, sf))
 
 

@@ -315,3 +315,54 @@ def test_empty_inputs(spark):
     none = frame(spark, [])
     for df in (trips(none), episodes.idle_episodes(none), episodes.charging_sessions(none), live.live_state(none), order.gps_filtered(none)):
         assert df.count() == 0
+
+
+def test_bloom_filter_rotates_and_errs_as_sized(spark):
+    rows = spark.range(6000).select(F.lit(1).alias("tenant"), F.col("id").alias("key"), (F.col("id") * 10).alias("arrival"))
+    again = rows.where("key % 100 = 0").withColumn("arrival", F.col("arrival") + 5)
+    old = rows.where("key % 100 = 1 and key < 1000").withColumn("arrival", F.col("arrival") + 45_000)
+    df = rows.withColumn("kind", F.lit("new")).unionByName(again.withColumn("kind", F.lit("again"))).unionByName(old.withColumn("kind", F.lit("old")))
+    got = {r.kind: (r.n, r.seen) for r in order.bloom_seen(df, ["tenant"], "key", "arrival", 20_000, 2000, 0.01).groupBy("kind").agg(F.count("*").alias("n"), F.count_if("seen").alias("seen")).collect()}
+    assert got["again"] == (60, 60) and got["new"][0] == 6000 and got["new"][1] < 0.04 * 6000 and got["old"][1] <= 2
+
+
+def test_nearest_against_all_pairs(spark):
+    from motorcade.functions.geo import metres
+    from motorcade.operators.joins import nearest
+
+    rng = np.random.default_rng(1)
+    spots = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-89, 89, 60), rng.uniform(-180, 180, 60), strict=True))]
+    points = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 80), rng.uniform(-180, 180, 80), strict=True))] + [(100, 10.0, 179.99), (101, 89.9, 0.0)]
+    got = {}
+    for r in nearest(spark.createDataFrame(points, "p int, lat double, lon double"), spark.createDataFrame(spots, "s int, lat double, lon double"), 3, "p", "s", finest=6).orderBy("p", "rank").collect():
+        got.setdefault(r.p, []).append(r.s)
+    for p, lat, lon in points:
+        assert got[p] == [i for _, i in sorted((float(metres(lat, lon, a, b)), i) for i, a, b in spots)[:3]]
+
+
+def test_snapped_against_a_loop(spark):
+    nodes, _ = algorithms.grid_graph(6)
+    rng = random.Random(2)
+    points = [(i, 13.0 + rng.uniform(-0.02, 0.05), 80.0 + rng.uniform(-0.02, 0.05)) for i in range(200)]
+    got = {r.point_id: r.node for r in algorithms.snapped(spark.createDataFrame(points, "point_id int, lat double, lon double"), spark.createDataFrame(nodes, "node int, lat double, lon double")).collect()}
+    deg = 500.0 / 111_000.0
+    for i, lat, lon in points:
+        from motorcade.functions.geo import metres
+
+        rings = sorted((max(abs(int(a / deg) - int(lat / deg)), abs(int(b / deg) - int(lon / deg))), float(metres(lat, lon, a, b, 6_371_088.0)), n) for n, a, b in nodes)
+        assert got.get(i) == (rings[0][2] if rings[0][0] <= 3 else None)
+
+
+def test_tokens_and_names(spark):
+    from motorcade.functions import access
+
+    key = "k" * 10
+    good = access.token(F.lit('{"sub":"a","exp":100}'), key)
+    r = spark.range(1).select(*[access.claims(t, key, F.lit(now)).alias(n) for n, t, now in (("ok", good, 99), ("old", good, 100), ("key", access.token(F.lit('{"sub":"a","exp":100}'), "z"), 9), ("bad", F.lit("a.b"), 9), ("none", F.lit("eyJhbGciOiJub25lIn0.e30."), 9), ("null", F.lit(None).cast("string"), 9))], access.common_name(F.lit("O=CN=x, CN=y")).alias("cn")).first()
+    assert (r.ok.verdict, r.ok["sub"], r.old.verdict, r.key.verdict, r.bad.verdict, r.none.verdict, r.cn) == ("OK", "a", "EXPIRED", "BAD_SIGNATURE", "MALFORMED", "BAD_ALGORITHM", "y")
+    import base64, hashlib, hmac, json
+
+    head, body, sig = spark.range(1).select(good.alias("t")).first().t.split(".")
+    pad = lambda x: x + "=" * (-len(x) % 4)
+    assert json.loads(base64.urlsafe_b64decode(pad(body))) == {"sub": "a", "exp": 100}
+    assert base64.urlsafe_b64decode(pad(sig)) == hmac.new(key.encode(), f"{head}.{body}".encode(), hashlib.sha256).digest()

@@ -32,23 +32,23 @@ def same(spark, duck, name):
 
 def test_audit_chain_holds_all_rows(spark, duck):
     n = duck.execute("select count(*) from events").fetchone()[0]
-    assert len(same(spark, duck, "p_audit_chain_all")) == n
-    assert sum(r[1] for r in same(spark, duck, "q_audit_all")) == n
+    assert len(same(spark, duck, "p_audit_chain")) == n
+    assert sum(r[1] for r in same(spark, duck, "q_audit")) == n
     # every link once more, by a plain loop
     before = {}
-    for r in sorted(QUERIES["p_audit_chain_all"](spark, MIDDLE).collect(), key=lambda r: (r.tenant_id, r.seq)):
+    for r in sorted(QUERIES["p_audit_chain"](spark, MIDDLE).collect(), key=lambda r: (r.tenant_id, r.seq)):
         assert r.prev_hash == before.get(r.tenant_id, "0" * 64) and r.hash == sharing.link(r.prev_hash, r.payload)
         before[r.tenant_id] = r.hash
 
 
 def test_geo_neighbours_of_all_rows(spark, duck):
-    assert len(same(spark, duck, "geo_neighbors_all")) == duck.execute("select count(*) from events").fetchone()[0]
+    assert len(same(spark, duck, "geo_neighbors")) == duck.execute("select count(*) from events").fetchone()[0]
 
 
 def test_dead_letters_of_all_payloads(spark, duck, monkeypatch):
     """A row that is broken outside every fiftieth is seen."""
-    count = lambda: {r.reason_code: r.n for r in QUERIES["sink_dlq_all"](spark, MIDDLE).collect()}
-    same(spark, duck, "sink_dlq_all")
+    count = lambda: {r.reason_code: r.n for r in QUERIES["sink_dlq"](spark, MIDDLE).collect()}
+    same(spark, duck, "sink_dlq")
     before, given = count(), scalars.payloads
     broken = lambda spark, sf: given(spark, sf).withColumn("raw", F.when(F.col("event_id") == 7, "{").otherwise(F.col("raw")))
     monkeypatch.setattr(scalars, "payloads", broken)
@@ -56,4 +56,4 @@ def test_dead_letters_of_all_payloads(spark, duck, monkeypatch):
 
 
 def test_page_behind_another(spark, duck):
-    assert len(same(spark, duck, "q_page_next")) == 10
+    assert len(same(spark, duck, "q_page_after")) == 10
