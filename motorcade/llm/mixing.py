@@ -4,7 +4,8 @@ A classifier fitted on the labelled table predicts a document's domain posterior
 measures (words, lines, capitals, digits, symbols, marks). A document's tokens (words) times its posteriors are its
 expected tokens by domain. Projected-gradient least squares then fits one rate per document, at least `least`, whose
 expected domain totals match the targets: x <- max(least, x - A'H(Ax - t)), where H, the inverse of AA', makes one the
-right step size. Each step sends the driver one total per domain; rates stay distributed. Steps go on until totals
+right step size. Each step sends the driver one total per domain; rates stay distributed, and a document's follows from its
+own posteriors and the steps. Steps go on until totals
 meet the targets or stand still; what is missed then, which rates that may not fall can't mend, is a result.
 
 Domains are the labelled table's classes, quality and toxicity together (q1t0 and so on).
@@ -87,46 +88,57 @@ def mix(
     targets: a weight for each domain; by default its share to the power TEMPER. The targets' sum is the corpus's own
     tokens or, with `grow`, the least that shrinks no domain."""
     rows = written(measured(docs, id_col, text_col, keep), "measured")
-    model = domains(rows, labels, id_col)
+    model = domains(rows, labels)
     names = list(model)
-    table = rows.withColumn("p", posteriors(model)).drop("bins").withColumn("rate", F.lit(max(1.0, float(least))))
-    table = written(table, "posteriors")
-    dropped(rows)
+    start = max(1.0, float(least))
+    # documents of equal measures have equal rates, so rates are fitted on the different measures and their counts
+    table = rows.groupBy("n_tokens", "bins").agg(F.count("*").alias("times")).withColumn("p", posteriors(model)).drop("bins")
+    table = written(table.withColumn("rate", F.lit(start)), "posteriors")
     expected = [F.col("n_tokens") * F.get("p", F.lit(i)) for i in range(len(names))]
+    times = F.col("times")
     k = range(len(names))
-    first = table.agg(*[F.sum(x).alias(f"s{i}") for i, x in enumerate(expected)], *[F.sum(expected[i] * expected[j]).alias(f"g{i}_{j}") for i in k for j in k if i <= j]).first()
+    first = table.agg(*[F.sum(times * x).alias(f"s{i}") for i, x in enumerate(expected)], *[F.sum(times * expected[i] * expected[j]).alias(f"g{i}_{j}") for i in k for j in k if i <= j]).first()
     own = np.array([first[f"s{i}"] or 0.0 for i in k])
     gram = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k])
 
 
-    def named(t: DataFrame, missed: float) -> DataFrame:
+    def named(steps: list[np.ndarray], missed: float) -> DataFrame:
         by_name = F.map_from_arrays(F.array(*[F.lit(x) for x in names]), F.col("p"))
-        return t.select(F.col("id").alias(id_col), *(["kept"] if keep else []), "n_tokens", by_name.alias("posteriors"), "rate", F.lit(missed).alias("missed"))
+        rate = F.lit(start)
+        if steps:
+            moves = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in steps])
+            dot = lambda m: F.aggregate(F.zip_with("p", m, lambda x, v: x * v), F.lit(0.0), lambda a, x: a + x)
+            rate = F.aggregate(moves, rate, lambda r, m: F.greatest(F.lit(float(least)), r - F.col("n_tokens") * dot(m)))
+        out = rows.withColumn("p", posteriors(model))
+        return out.select(F.col("id").alias(id_col), *(["kept"] if keep else []), "n_tokens", by_name.alias("posteriors"), rate.alias("rate"), F.lit(missed).alias("missed"))
 
     if own.sum() <= 0:
-        return named(table, 0.0)
+        dropped(table)
+        return named([], 0.0)
     weight = np.array([targets.get(x, 0.0) for x in names]) if targets else (own / own.sum()) ** TEMPER
     weight = np.where(own > 0, weight, 0)
     weight /= weight.sum()
     scale = max(o / w for o, w in zip(own, weight, strict=True) if w > 0) if grow else own.sum()
     goal = weight * scale
     metric = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(len(names)))
-    now, moves = own * max(1.0, least), []
+    now, moves, steps = own * start, [], []
     rate = F.col("rate")
     while np.abs(now - goal).max() > TOLERANCE * goal.max():
         push = metric @ (now - goal)
         change = sum((x * F.lit(float(v)) for x, v in zip(expected, push, strict=True)), F.lit(0.0))
         rate = F.greatest(F.lit(float(least)), rate - change)
         moves.append(push)
+        steps.append(push)
         if len(moves) == CHAIN:
             new = written(table.withColumn("rate", rate), "rates")
             dropped(table)
             table, rate, moves = new, F.col("rate"), []
-        got = table.select(*[c for c in ("n_tokens", "p")], rate.alias("rate")).agg(*[F.sum(x * F.col("rate")).alias(f"s{i}") for i, x in enumerate(expected)]).first()
+        got = table.select("n_tokens", "p", "times", rate.alias("rate")).agg(*[F.sum(times * x * F.col("rate")).alias(f"s{i}") for i, x in enumerate(expected)]).first()
         before, now = now, np.array([got[f"s{i}"] or 0.0 for i in k])
         if np.abs(now - before).max() <= 0.1 * TOLERANCE * goal.max():  # bounded rates can't come nearer
             break
-    return named(table.withColumn("rate", rate), float(np.abs(now - goal).max() / goal.max()))
+    dropped(table)
+    return named(steps, float(np.abs(now - goal).max() / goal.max()))
 
 
 def copies(id_col: str = "doc_id") -> Column:
