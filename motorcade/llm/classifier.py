@@ -37,7 +37,7 @@ GRADES = 4
 GOOD = 2
 #: Tail probability under which a document isn't kept.
 KEEP_AT = 0.1
-TOLERANCE = 1e-5
+TOLERANCE = 1e-4
 RIDGE = 2e-4
 SHAPE_GAIN, WORD_GAIN, BIN_GAIN = 4.0, 8.0, 1.0
 
@@ -153,7 +153,7 @@ def train(row: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray
                 break
             size /= 2
         step, turn = -size * way, slope - grad
-        if size < 1e-8 or now - new <= 1e-10 * abs(now):  # as far as rounding lets it go
+        if size < 1e-8 or now - new <= 1e-9 * abs(now):  # as far as rounding lets it go
             break
         if step @ turn > 1e-12:
             pairs = [*pairs[-9:], (step, turn)]
