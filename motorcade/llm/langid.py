@@ -123,12 +123,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from rows with a text and a language; the caller leaves out rows that must not be learnt from."""
     rows = bounded(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n = rows.agg(F.count_distinct("lang")).first()[0]
+    held = written(rows.groupBy("lang").agg(F.count("*").alias("held")), "languages")
+    n = held.count()
     if not n:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = rows.select("id", "lang").distinct().withColumn("place", order).where(F.col("place") <= max(FEWEST, most // n)).drop("place")
-    picked = written(picked, "lang-fit")
+    each = max(FEWEST, most // n)
+    # a share of each language that holds some times as many rows as are picked, so that a frequent one's don't all meet
+    share = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) * F.col("held") <= 4.0 * each * (1 << 30)) | (F.col("held") <= 4 * each)
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id"))
+    some = rows.select("id", "lang").join(held, "lang").where(share).select("id", "lang").distinct()
+    picked = written(some.withColumn("place", order).where(F.col("place") <= each).drop("place"), "lang-fit")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,7 +142,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     some = rows.join(F.broadcast(picked), ["id", "lang"]).distinct()
     got = some.mapInArrow(featured, f"id {dict(docs.dtypes)[id_col]}, lang string, f array<int>, x array<float>").toArrow()
-    dropped(picked)
+    dropped(picked, held)
     ids, langs = got["id"].to_pylist(), got["lang"].to_pylist()
     cols = [got[c].combine_chunks() for c in ("f", "x")]
     made = [tuple(c[i].values.to_numpy() for c in cols) for i in range(len(ids))]
