@@ -22,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bounds on what a Python worker holds of its input at a time, set where the session has Spark's defaults.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
