@@ -8,6 +8,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -80,34 +81,47 @@ def baseline_cost(e0: float, target: float, most: float, prices: list[float], kw
     return total
 
 
-def charging_plan(e0: float, target: float, most: float, prices: list[float], charger_kw: float, vehicle_kw: float, step: float = 0.5, hours: float = 0.25, eta: float = 0.92) -> Plan:
-    """Cheapest schedule over slots by dynamic programming on an energy grid: the least cost over all levels at or above
-    the target; if none is reachable, the highest level that is."""
-    kw, n = min(charger_kw, vehicle_kw), math.ceil(most / step) + 1
-    level = lambda e: max(0, min(n - 1, round(e / step)))
-    start, goal = level(e0), level(target)
-    reach = [min(n - 1 - i, math.floor(charge_power(i * step, most, kw) * hours * eta / step + 1e-9)) for i in range(n)]
-    levels, can = np.arange(n), {a: np.array(reach[: n - a]) >= a for a in range(1, max(reach, default=0) + 1)}
+@lru_cache(maxsize=64)
+def charging_table(start: int, most: float, prices: tuple[float, ...], kw: float, step: float, hours: float, eta: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Least cost of each level of the energy grid after all slots, and by slot the level that each was reached from.
+    It doesn't depend on the target, so requests that differ in nothing else share it."""
+    n = math.ceil(most / step) + 1
+    reach = np.array([min(n - 1 - i, math.floor(charge_power(i * step, most, kw) * hours * eta / step + 1e-9)) for i in range(n)])
+    levels, can = np.arange(n), {a: reach[: n - a] >= a for a in range(1, max(reach, default=0) + 1)}
     f = np.full(n, np.inf)
     f[start], came = 0.0, []
     for p in prices:
         g, frm = f.copy(), levels.copy()
-        for a in range(1, max(reach, default=0) + 1):
-            cost = np.where(can[a], f[: n - a] + a * step / eta * p, np.inf)
+        for a, ok in can.items():
+            cost = np.where(ok, f[: n - a] + a * step / eta * p, np.inf)
             less = cost < g[a:] - 1e-12
             g[a:][less], frm[a:][less] = cost[less], levels[: n - a][less]
         f = g
         came.append(frm)
+    return f, came
+
+
+@lru_cache(maxsize=4096)
+def schedule(start: int, goal: int, most: float, prices: tuple[float, ...], kw: float, step: float, hours: float, eta: float) -> tuple[tuple[float, ...], float, bool, int]:
+    """Energy by slot, cost, whether the goal is reached, and the level reached."""
+    f, came = charging_table(start, most, prices, kw, step, hours, eta)
     ok = np.flatnonzero(np.isfinite(f[goal:])) + goal
-    feasible = len(ok) > 0
-    best = int(ok[np.argmin(f[ok])]) if feasible else int(np.flatnonzero(np.isfinite(f)).max())
+    best = int(ok[np.argmin(f[ok])]) if len(ok) else int(np.flatnonzero(np.isfinite(f)).max())
     slots, at = [0.0] * len(prices), best
     for i in range(len(prices) - 1, -1, -1):
         slots[i] = float((at - came[i][at]) * step)
         at = int(came[i][at])
+    return tuple(slots), float(f[best]), len(ok) > 0, best
+
+
+def charging_plan(e0: float, target: float, most: float, prices: list[float], charger_kw: float, vehicle_kw: float, step: float = 0.5, hours: float = 0.25, eta: float = 0.92) -> Plan:
+    """Cheapest schedule over slots by dynamic programming on an energy grid: the least cost over all levels at or above
+    the target; if none is reachable, the highest level that is."""
+    kw, n = min(charger_kw, vehicle_kw), math.ceil(most / step) + 1
+    start, goal = (max(0, min(n - 1, round(e / step))) for e in (e0, target))
+    slots, cost, feasible, best = schedule(start, goal, most, tuple(prices), kw, step, hours, eta)
     base = baseline_cost(e0, target, most, prices, kw, hours, eta)
-    cost = float(f[best])
-    return Plan(slots, round(cost, 4), round(base, 4), round(max(0.0, base - cost), 4), feasible, best * step)
+    return Plan(list(slots), round(cost, 4), round(base, 4), round(max(0.0, base - cost), 4), feasible, best * step)
 
 
 PLAN_SCHEMA = "request_id string, slot int, price double, kwh double, cost double, baseline double, saving double, feasible boolean"
@@ -116,17 +130,24 @@ PLAN_SCHEMA = "request_id string, slot int, price double, kwh double, cost doubl
 def charging_plans(requests: DataFrame) -> DataFrame:
     """One row per request and slot. requests: request_id, e0_kwh, target_kwh, max_kwh, charger_kw, vehicle_kw, prices (array)."""
 
+    names = [c.split()[0] for c in PLAN_SCHEMA.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                p = charging_plan(r.e0_kwh, r.target_kwh, r.max_kwh, list(r.prices), r.charger_kw, r.vehicle_kw)
-                out += [(r.request_id, i + 1, float(price), k, p.cost, p.baseline, p.saving, p.feasible) for i, (price, k) in enumerate(zip(r.prices, p.slot_kwh, strict=True))]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PLAN_SCHEMA.split(", ")])
-
-    # few bytes but much work per request: dealt over all cores, which a size-based split wouldn't do
-    cores = requests.sparkSession.sparkContext.defaultParallelism
-    return requests.repartition(cores, "request_id").mapInPandas(run, PLAN_SCHEMA)
+            if pdf.empty:
+                continue
+            prices = [tuple(map(float, x)) for x in pdf["prices"]]
+            plans = [charging_plan(*x) for x in zip(pdf["e0_kwh"], pdf["target_kwh"], pdf["max_kwh"], prices, pdf["charger_kw"], pdf["vehicle_kw"], strict=True)]
+            times = [len(x) for x in prices]
+            flat = lambda xs, kind: np.fromiter((v for x in xs for v in x), kind, sum(times))
+            each = {c: np.repeat(np.array([getattr(p, c) for p in plans]), times) for c in names[4:]}
+            slots = flat((range(1, n + 1) for n in times), np.int32)
+            yield pd.DataFrame({"request_id": np.repeat(pdf["request_id"].to_numpy(), times), "slot": slots, "price": flat(prices, float), "kwh": flat((p.slot_kwh for p in plans), float), **each})[names]
+
+    # few bytes but much work per request: dealt over as many tasks as a shuffle has, which a size-based split wouldn't do
+    spark = requests.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return requests.repartition(tasks, "request_id").mapInPandas(run, PLAN_SCHEMA)
 
 
 def price_slots(n: int = 48) -> Column:

@@ -55,6 +55,13 @@ _NEAR = "SELECT CAST(src AS INTEGER) AS src, CAST(node AS INTEGER) AS charger, {
 ORACLE["graph_reachable"] = _from_sources(_NEAR.format(v=r("dist", 6), rank=""))
 ORACLE["q_nearest_charger"] = _from_sources("SELECT * FROM (" + _NEAR.format(v=r("dist", 6), rank=", CAST(row_number() OVER (PARTITION BY src ORDER BY dist, node) AS INTEGER) AS rank") + ") WHERE rank <= 3")
 
+# Cheapest ways, which are unique on the grid, with the nodes that they pass.
+_WAYS = [f"d0 AS (SELECT s AS src, s AS node, 0.0::DOUBLE AS dist, CAST(s AS VARCHAR) AS path FROM range(0, {GRID * GRID}, 40) x(s))"]
+for _i in range(1, 2 * GRID + 6):
+    _on = f"SELECT src, node, dist, path FROM d{_i - 1} UNION ALL SELECT d.src, w.dst, dist + kwh, path || '>' || w.dst FROM d{_i - 1} d JOIN w ON w.src = d.node"
+    _WAYS.append(f"d{_i} AS (SELECT src, node, min(dist) AS dist, arg_min(path, dist) AS path FROM ({_on}) GROUP BY 1, 2)")
+ORACLE["graph_astar"] = f"WITH {_grid_sql()}, w AS (SELECT src, dst, km * (0.15 + 0.00003 * (kmh - 50) * (kmh - 50)) AS kwh FROM e), {', '.join(_WAYS)} SELECT CAST(src AS INTEGER) AS src, {r('dist', 6)} AS cost, path FROM d{2 * GRID + 5} WHERE node = {GRID * GRID - 1}"
+
 # Charging at once at full power, slot by slot.
 _BASE = ["p0 AS (SELECT CAST(c_custkey AS VARCHAR) AS request_id, 15.0::DOUBLE AS e, least(55.0, 15.0 + abs(c_acctbal) / 400.0) AS target, 0.0::DOUBLE AS cost FROM customer)"]
 for _i in range(24):
@@ -177,3 +184,40 @@ ORACLE["p_jwt"] = f"""WITH {TELEMETRY}, b AS (SELECT *, {_BODY} AS body FROM t),
 k AS (SELECT *, CASE WHEN k % 7 = 0 THEN forged WHEN k % 11 = 0 THEN 'e30.x.x' WHEN k % 13 = 0 THEN 'no token' ELSE good END AS token FROM s),
 v AS (SELECT event_id, vehicle_pid, CASE WHEN len(string_split(token, '.')) <> 3 THEN 'MALFORMED' WHEN NOT starts_with(token, 'eyJhbGciOiJIUzI1NiI') THEN 'BAD_ALGORITHM' WHEN token <> good THEN 'BAD_SIGNATURE' WHEN ts_ms // 1000 <= {1_704_067_200 + 2000} THEN 'EXPIRED' ELSE 'OK' END AS verdict FROM k)
 SELECT event_id, verdict, CASE WHEN verdict = 'OK' THEN vehicle_pid END AS sub FROM v"""
+
+
+# Charging schedules: 121 levels of half a kilowatt-hour. Forward, each level's least cost and where it came from (ties
+# go to the smaller step); backward, what each slot adds on the way to a request's target.
+def _schedule_sql(requests: str, slots: int, tail: str) -> str:
+    power = "CASE WHEN i * 0.5 / 60.0 <= 0.8 THEN 11.0 ELSE 11.0 * (1 - (i * 0.5 / 60.0 - 0.8) / 0.2 * 0.9) END"
+    price = [0.12 if i % 8 < 5 else 0.28 for i in range(slots)]
+    parts = [f"q AS ({requests})", f"m AS (SELECT CAST(i AS INTEGER) AS i, least(120 - i, CAST(floor(({power}) * 0.25 * 0.92 / 0.5 + 1e-9) AS INTEGER)) AS reach FROM range(121) x(i))"]
+    parts.append("d0 AS (SELECT 30 AS i, 30 AS frm, 0.0::DOUBLE AS c)")
+    for s in range(slots):
+        step = f"SELECT d.i + CAST(a AS INTEGER) AS i, d.i AS frm, a, c + a * 0.5::DOUBLE / 0.92::DOUBLE * {price[s]}::DOUBLE AS c FROM d{s} d JOIN m ON m.i = d.i CROSS JOIN range(6) x(a) WHERE a <= m.reach"
+        parts.append(f"d{s + 1} AS MATERIALIZED (SELECT i, frm, c FROM ({step}) QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(c, 9), a) = 1)")
+    parts.append("g AS (SELECT DISTINCT least(120, CAST(round_even(target / 0.5, 0) AS INTEGER)) AS goal FROM q)")
+    parts.append(f"b{slots} AS (SELECT goal, coalesce(min(i) FILTER (i >= goal), max(i)) AS i, max(i) >= goal AS feasible FROM g, d{slots} GROUP BY goal)")
+    parts += [f"b{s} AS (SELECT b.goal, d.frm AS i FROM b{s + 1} b JOIN d{s + 1} d ON d.i = b.i)" for s in range(slots - 1, -1, -1)]
+    added = " UNION ALL ".join(f"SELECT x.goal, {s + 1} AS slot, {price[s]}::DOUBLE AS price, (y.i - x.i) * 0.5::DOUBLE AS kwh FROM b{s} x JOIN b{s + 1} y ON y.goal = x.goal" for s in range(slots))
+    parts.append(f"k AS ({added})")
+    base = ["p0 AS (SELECT request_id, 15.0::DOUBLE AS e, target, 0.0::DOUBLE AS cost FROM q)"]
+    base += [f"p{s + 1} AS (SELECT request_id, e + ({_add}) AS e, target, cost + ({_add}) / 0.92 * {price[s]} AS cost FROM p{s})" for s in range(slots)]
+    cost, paid = r("d.c", 4), r("p.cost", 4)
+    rows = f"""z AS (SELECT q.request_id, CAST(k.slot AS INTEGER) AS slot, k.price, k.kwh, {cost} AS cost, {paid} AS baseline, {r('greatest(0.0, p.cost - d.c)', 4)} AS saving, b.feasible
+  FROM q JOIN p{slots} p USING (request_id) JOIN b{slots} b ON b.goal = least(120, CAST(round_even(q.target / 0.5, 0) AS INTEGER)) JOIN d{slots} d ON d.i = b.i JOIN k ON k.goal = b.goal)"""
+    return "WITH " + ", ".join([*parts, *base, rows]) + " " + tail
+
+
+_REQUESTS = "SELECT CAST(c_custkey AS VARCHAR) AS request_id, CAST(least(55.0, 15.0 + abs(c_acctbal) / 400.0) AS DOUBLE) AS target FROM customer"
+ORACLE["dp_charging"] = _schedule_sql(_REQUESTS, 24, "SELECT * FROM z")
+ORACLE["q_ev_plan"] = _schedule_sql(_REQUESTS + " WHERE c_custkey = 1", 24, "SELECT * FROM z")
+ORACLE["plan_ev_api"] = _schedule_sql("SELECT 'r' AS request_id, 48.0::DOUBLE AS target", 48, "SELECT * EXCLUDE (request_id) FROM z")
+
+# Beta(2, 5) as the second smallest of six keyed uniforms.
+_UNIFORMS = ", ".join(f"(CAST('0x' || substr(md5('{i}:' || vehicle_pid), 1, 7) AS BIGINT) + 0.5) / {float(1 << 28)!r}::DOUBLE" for i in range(6))
+ORACLE["gen_driver_profile"] = f"WITH {TELEMETRY} SELECT vehicle_pid, list_sort([{_UNIFORMS}])[2] AS aggression FROM (SELECT DISTINCT vehicle_pid FROM t)"
+
+# As many facts of each kind as their own queries have.
+_FACTS = {"trip": "st_trip_fsm", "idle": "st_idle", "charging": "st_charging", "safety": "st_safety"}
+ORACLE["sink_fact_insert"] = " UNION ALL ".join(f"SELECT '{kind}' AS fact, count(*) AS rows FROM ({ORACLE[name]})" for kind, name in _FACTS.items())

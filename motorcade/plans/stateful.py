@@ -367,8 +367,9 @@ def graph_dijkstra(spark, sf):
 
 @query("graph_astar")
 def graph_astar(spark, sf):
-    """Tests compare costs with the unguided search."""
-    return searched(spark, lambda g, s: [(s, *g.path(s, GRID * GRID - 1))], "src int, cost double, path array<int>")
+    """The way to the last node, as its nodes in order."""
+    found = searched(spark, lambda g, s: [(s, *g.path(s, GRID * GRID - 1))], "src int, cost double, path array<int>")
+    return found.select("src", rc(F.col("cost"), 6).alias("cost"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @query("graph_reachable")
@@ -675,8 +676,9 @@ def gen_seed(spark, sf):
 
 @query("gen_driver_profile")
 def gen_driver_profile(spark, sf):
-    """Aggression as the second smallest of six uniforms, which is Beta(2, 5)."""
-    u = F.array_sort(F.array(*[(F.pmod(F.xxhash64(F.lit(i), "vehicle_pid"), F.lit(1 << 30)) + 0.5) / float(1 << 30) for i in range(6)]))
+    """Aggression as the second smallest of six uniforms drawn by hash, which is Beta(2, 5)."""
+    drawn = lambda i: F.conv(F.substr(F.md5(F.concat(F.lit(f"{i}:"), "vehicle_pid")), F.lit(1), F.lit(7)), 16, 10).cast("bigint")
+    u = F.array_sort(F.array(*[(drawn(i) + 0.5) / float(1 << 28) for i in range(6)]))
     return telemetry(spark, sf).select("vehicle_pid").distinct().select("vehicle_pid", F.get(u, F.lit(1)).alias("aggression"))
 
 
