@@ -9,7 +9,7 @@ with it; a batch holds BATCH pieces, however long texts are and however many lan
 
 The fit reads at most MAX_FIT labelled rows (or FEWEST of each language, if there are more languages than that allows),
 the same number of each language, those of smallest hash of the id, and whole texts; at most 2**BITS numbers for each
-come to the driver.
+come to the driver. Of more than MAX_LANGS different labels, as a dirty column has, those of most rows are learnt.
 
 Edge cases: a null text or one without a letter (Unicode category L) is `und` with score 0; without labels every text
 is; rows without a language or text aren't learnt from; repeated rows are rated alike; only the id, text and language
@@ -34,6 +34,7 @@ PIECE = 2048
 BATCH = 128
 MAX_FIT = 2048
 FEWEST = 16
+MAX_LANGS = 512
 LANDMARKS = 256
 RIDGE = 1e-2
 SHARPNESS = 6.0
@@ -119,11 +120,12 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> La
     return LanguageModel(names, (land @ (root @ ridge)).astype(np.float32))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_FIT) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MAX_FIT, most_langs: int = MAX_LANGS) -> LanguageModel:
     """Learn from rows with a text and a language; the caller leaves out rows that must not be learnt from."""
     rows = bounded(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    held = written(rows.groupBy("lang").agg(F.count("*").alias("held")), "languages")
+    held = rows.groupBy("lang").agg(F.count("*").alias("held"))
+    held = written(held.orderBy(F.desc("held"), "lang").limit(most_langs), "languages")
     n = held.count()
     if not n:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
