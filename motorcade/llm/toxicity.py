@@ -14,8 +14,8 @@ weights come from a ridge logistic regression on the paths of labelled rows: arc
 patterns' factors, and these given the arcs, in turns; what labels say nothing of stays near the fixed weights. Labels
 come from at most MAX_FIT labelled rows, those of smallest hash of the id. Texts are read whole.
 
-Edge cases: a null or empty text has the score of a text without matches; no labels leave the fixed list; repeated
-texts of one label count once in the fit; only id and text (and the labels' id and label) are read.
+Edge cases: a null or empty text has the score of a text without matches; no labels leave the fixed list; labels other
+than 0 and 1 are none, and of a row's contradicting ones 1 holds; repeated texts of one label count once in the fit; only id and text (and the labels' id and label) are read.
 """
 
 from __future__ import annotations
@@ -234,7 +234,8 @@ def _stems(text: str) -> dict[str, str]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_FIT) -> Grammar:
     """Learn a grammar from labelled rows; the caller leaves out rows that must not be learnt from."""
-    picked = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    label = F.col(label_col).cast("int")
+    picked = labels.where(label.isin(0, 1)).groupBy(id_col).agg(F.max(label).alias("y"))
     picked = picked.orderBy(F.xxhash64(id_col), id_col).limit(most)
     rows = bounded(docs).select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), id_col)
     rows = written(rows.select("y", "text").distinct(), "toxic-fit")
