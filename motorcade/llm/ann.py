@@ -3,7 +3,7 @@
 Vectors are rotated by a random orthogonal matrix and assigned to the nearest of about as many centres as the root of
 their number; rotation and centres come from a bounded sample, but every row is indexed. A query probes the lists
 nearest to it: as few as hold RECALL of the true neighbours of sample vectors among the sample, which lie farther
-apart than neighbours in the whole table. Within a list candidates are scanned in column blocks: after t of d rotated
+apart than neighbours in the whole table, and more where those hold fewer than k other ids. Within a list candidates are scanned in column blocks: after t of d rotated
 dimensions a candidate is given up if its partial squared distance exceeds the k-th best one times t/d by more than a
 hypothesis test at EPSILON allows. Distances of the rest are exact, in double precision on the original vectors.
 
@@ -104,8 +104,9 @@ def _matrix(col: pa.Array, d: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
 
 
-def assigned(rows: DataFrame, index: Index, probes: int) -> DataFrame:
-    """(list, id, v) with one row for each of the nearest `probes` lists."""
+def assigned(rows: DataFrame, index: Index, probes: int, held: np.ndarray | None = None, least: int = 0) -> DataFrame:
+    """(list, id, v) with one row for each of the nearest `probes` lists and, while those hold fewer than `least` ids
+    (`held` by list), for the next ones."""
     d = len(index.rotation)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +116,13 @@ def assigned(rows: DataFrame, index: Index, probes: int) -> DataFrame:
                 x = _matrix(part.column(1), d) @ index.rotation
                 far = _square(x, index.centres)
                 near = np.argpartition(far, probes - 1, axis=1)[:, :probes] if probes < far.shape[1] else np.broadcast_to(np.arange(probes), far.shape)
-                take = pa.array(np.repeat(np.arange(len(x)), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], ["list", "id", "v"])
+                sizes, near = np.full(len(x), near.shape[1]), list(near)
+                for i in np.flatnonzero(held[np.stack(near)].sum(1) < least) if held is not None and near else ():
+                    order = np.argsort(far[i], kind="stable")
+                    near[i] = order[: int(np.searchsorted(held[order].cumsum(), least)) + 1]
+                    sizes[i] = len(near[i])
+                take = pa.array(np.repeat(np.arange(len(x)), sizes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(near).astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], ["list", "id", "v"])
 
     return rows.where(F.size("v") == d).select("id", "v").mapInArrow(run, "list int, id long, v array<double>")
 
@@ -160,10 +166,17 @@ def scan(queries: np.ndarray, q_ids: np.ndarray, found: np.ndarray, f_ids: np.nd
         yield int(qid), ids, dist
 
 
-def _blocks(counts: DataFrame, lists: int) -> Column:
-    """Number of blocks of a row's list; there are as many lists as the index has centres."""
-    n = {r["list"]: -(-r["n"] // BLOCK) for r in counts.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    return F.get(F.array(*[F.lit(n.get(i, 0)) for i in range(lists)]), F.col("list"))
+def _held(table: DataFrame, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and different ids of each list; there are as many lists as the index has centres."""
+    rows, ids = np.zeros(lists, np.int64), np.zeros(lists, np.int64)
+    for r in table.groupBy("list").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect():
+        rows[r["list"]], ids[r["list"]] = r["n"], r["ids"]
+    return rows, ids
+
+
+def _blocks(rows: np.ndarray) -> Column:
+    """Number of blocks of a row's list."""
+    return F.get(F.array(*[F.lit(int(-(-n // BLOCK))) for n in rows]), F.col("list"))
 
 
 def search(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -177,8 +190,10 @@ def search(df: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id",
     d, rotation = len(index.rotation), index.rotation
     # distinct: rows that repeat an id and its vector stand once, else copies take the places of other rows in a block
     stored = written(assigned(rows.distinct(), index, 1), "lists")
-    asked = written(assigned(rows.where(F.col("id") % every == 0).distinct(), index, index.probes), "probes")
-    n_stored, n_asked = _blocks(stored, len(index.centres)), _blocks(asked, len(index.centres))
+    lists = len(index.centres)
+    n_rows, n_ids = _held(stored, lists)
+    asked = written(assigned(rows.where(F.col("id") % every == 0).distinct(), index, index.probes, n_ids, k + 1), "probes")
+    n_stored, n_asked = _blocks(n_rows), _blocks(_held(asked, lists)[0])
     other = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)))
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     left = asked.withColumn("qb", own(n_asked)).withColumn("fb", other(n_stored))

@@ -58,6 +58,8 @@ def test_toxicity_odd_rows(spark, odd, no_labels):
     assert len(got) == odd.count() and all(0 <= r.score <= 1 for r in got)
     assert {r.doc_id for r in got if r.score >= 0.7} == {8}
     assert toxicity.score(odd.limit(0), g).count() == 0
+    other = spark.createDataFrame([(1, None), (5, 2), (6, -1), (8, 7)], "doc_id long, toxic int")
+    assert toxicity.fit(odd, other) == toxicity.Grammar()  # no label that is 0 or 1
 
 
 def test_language_held_out(spark):
@@ -99,6 +101,12 @@ def test_language_learns_rare_ones_and_letters(spark):
     assert m.langs == ["en", "fi"] and got[0] == got[3] == "und" and got[1] != "und" and got[2] == "fi"
 
 
+def test_language_labels_are_bounded(spark):
+    """Of too many different labels those of most rows are learnt."""
+    rows = [(i, "the dog and the street", "en") for i in range(30)] + [(100 + i, "koira on tie", "fi") for i in range(20)] + [(200 + i, f"text {i}", f"dirty {i}") for i in range(40)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_langs=2).langs == ["en", "fi"]
+
+
 def test_language_odd_rows(spark, odd):
     m = langid.fit(odd)
     got = {r.doc_id: r for r in langid.identify(odd, m).collect()}
@@ -181,6 +189,17 @@ def test_neighbours_of_ids_with_two_vectors(spark):
         assert got[q] == [i for _, i in sorted((d, i) for i, d in best.items())[:10]]
 
 
+def test_short_lists_send_a_query_to_more(spark):
+    """A query whose nearest list holds fewer than k others goes on to the next lists."""
+    index = ann.Index(np.eye(2), np.array([[0.0, 0.0], [50.0, 0.0], [90.0, 0.0]]), 1)
+    rows = spark.createDataFrame([(1, [91.0, 1.0]), (2, [1.0, 1.0])], "id long, v array<double>")
+    held = np.array([30, 4, 3])
+    got = {(r.id, r.list) for r in ann.assigned(rows, index, 1, held, 11).collect()}
+    assert got == {(1, 2), (1, 1), (1, 0), (2, 0)}
+    assert {(r.id, r.list) for r in ann.assigned(rows, index, 1, held, 7).collect()} == {(1, 2), (1, 1), (2, 0)}
+    assert ann.assigned(rows, index, 1, held, 100).count() == 6  # fewer candidates than asked for: all lists
+
+
 def test_probes_follow_the_vectors():
     """Clustered vectors need a small share of the lists, and a smaller one of more vectors."""
     shares = []
