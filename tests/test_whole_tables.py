@@ -57,3 +57,15 @@ def test_dead_letters_of_all_payloads(spark, duck, monkeypatch):
 
 def test_page_behind_another(spark, duck):
     assert len(same(spark, duck, "q_page_after")) == 10
+
+
+def test_charging_without_power_stays_charging(spark):
+    """A payload that tells charging by the sign of its power keeps it at zero; a power that isn't given tells nothing."""
+    from motorcade.operators import mapping, normalize
+    from motorcade.plans.telemetry import telemetry
+
+    m = mapping.Registry().lookup("E", 2)
+    for state, kw, want in (("CHARGING", 0.0, ("CHARGING", 0.0)), ("CHARGING", 6.5, ("CHARGING", 6.5)), ("NONE", 0.0, ("NONE", 0.0)), ("CHARGING", None, (None, 0.0))):
+        t = telemetry(spark, MIDDLE).where("event_id = 1").withColumns({"vin": F.lit("v"), "charge_state": F.lit(state), "charge_kw": F.lit(kw).cast("double")})
+        r = t.select(mapping.parsed(m, normalize.encode(t, "E", 2)).alias("p")).select(mapping.compiled(m, F.col("p"))[0].alias("f")).select("f.*").first()
+        assert r.charge_state == want[0] and r.charge_kw == pytest.approx(want[1])
