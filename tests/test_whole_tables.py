@@ -69,3 +69,21 @@ def test_charging_without_power_stays_charging(spark):
         t = telemetry(spark, MIDDLE).where("event_id = 1").withColumns({"vin": F.lit("v"), "charge_state": F.lit(state), "charge_kw": F.lit(kw).cast("double")})
         r = t.select(mapping.parsed(m, normalize.encode(t, "E", 2)).alias("p")).select(mapping.compiled(m, F.col("p"))[0].alias("f")).select("f.*").first()
         assert r.charge_state == want[0] and r.charge_kw == pytest.approx(want[1])
+
+
+def test_point_on_an_edge(spark):
+    """A point on an edge falls on the side on which the SQL, whose fence coordinates are decimals, has it."""
+    import duckdb
+
+    from motorcade.functions import geo
+
+    points = [(i, 13_000_000 + (i % 97) * 1000 + i % 100 * 45, 80_200_000 + (i % 89) * 1200 + i % 100 * 55) for i in range(0, 863_300, 211)]
+    points += [(-1, 13_051_450, 80_285_750), (-2, 13_030_900, 80_251_500), (-3, 13_055_800, 80_207_000), (-4, 13_053_700, 80_210_500)]
+    c = duckdb.connect()
+    c.execute("create table t (event_id int, lat_e6 int, lon_e6 int)")
+    c.executemany("insert into t values (?, ?, ?)", points[-500:])
+    want = dict(c.execute(scalars._ring_sql()).fetchall())
+    df = spark.createDataFrame(points[-500:], "event_id int, lat_e6 int, lon_e6 int")
+    ring = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in scalars.RING])
+    assert {r.event_id: r.inside for r in df.select("event_id", geo.in_polygon(df.lat_e6 / 1e6, df.lon_e6 / 1e6, ring).alias("inside")).collect()} == want
+    assert spark.range(1).select(geo.in_polygon(F.lit(0.5), F.lit(1e-30), F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1e-29), (0.0, 1e-29))])).alias("x")).first().x
