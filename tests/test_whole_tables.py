@@ -87,3 +87,12 @@ def test_point_on_an_edge(spark):
     ring = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in scalars.RING])
     assert {r.event_id: r.inside for r in df.select("event_id", geo.in_polygon(df.lat_e6 / 1e6, df.lon_e6 / 1e6, ring).alias("inside")).collect()} == want
     assert spark.range(1).select(geo.in_polygon(F.lit(0.5), F.lit(1e-30), F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon")) for a, b in ((0.0, 0.0), (1.0, 0.0), (1.0, 1e-29), (0.0, 1e-29))])).alias("x")).first().x
+
+
+def test_point_on_a_fence(spark):
+    """The same for fences met by cells: of three neighbours on one parallel, the one on the edge is outside as in the SQL."""
+    from motorcade.operators import geofence
+
+    ring = spark.createDataFrame([(1, [{"lat": a, "lon": b} for a, b in scalars.RING])], "fence_id int, ring array<struct<lat:double,lon:double>>")
+    rows = spark.createDataFrame([(i, 13_051_450, 80_285_749 + i) for i in range(3)], "event_id int, lat_e6 int, lon_e6 int")
+    assert sorted(r.event_id for r in geofence.inside_polygons(rows, ring).collect()) == [2]
