@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motorcade.checkpoints import ensure
+from motorcade.checkpoints import ensure, folder
 from motorcade.functions.geo import metres
 
 # labelling ---------------------------------------------------------------------------------------
@@ -270,17 +270,31 @@ def relaxed(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
     return dist
 
 
+#: Rows of nodes by cell that are few enough to broadcast, some megabytes.
+FEW_NEAR = 100_000
+
+
 def snapped(points: DataFrame, nodes: DataFrame, cell_m: float = 500.0, rings: int = 3) -> DataFrame:
-    """Nearest node of each point among the first non-empty ring of grid cells. points: point_id, lat, lon; nodes: node, lat, lon."""
-    deg = cell_m / 111_000.0
-    cell = lambda c: F.expr(f"cast({c} / {deg!r} as int)")
-    n = nodes.select("node", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), cell("lat").alias("ci"), cell("lon").alias("cj"))
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(max(abs(i), abs(j))).alias("ring")) for i in range(-rings, rings + 1) for j in range(-rings, rings + 1)]))
-    p = points.select("*", cell("lat").alias("pi"), cell("lon").alias("pj"), around.alias("o")).withColumn("ci", F.col("pi") + F.col("o.di")).withColumn("cj", F.col("pj") + F.col("o.dj")).withColumn("ring", F.col("o.ring"))
+    """Nearest node of each point among the first non-empty ring of grid cells. points: point_id, lat, lon; nodes: node, lat, lon.
+
+    Nodes are dealt to the cells around theirs, and a cell keeps those of its first ring; points stay one row each. They
+    are never broadcast: their size is estimated from compressed files, which may hold many times what they take."""
     from motorcade.functions.geo import haversine
 
+    spark, deg = points.sparkSession, cell_m / 111_000.0
+    cell = lambda c: F.expr(f"cast({c} / {deg!r} as int)")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(max(abs(i), abs(j))).alias("ring")) for i in range(-rings, rings + 1) for j in range(-rings, rings + 1)]))
+    n = nodes.select("node", F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), cell("lat").alias("ci"), cell("lon").alias("cj"), around.alias("o"))
+    n = n.select("node", "nlat", "nlon", (F.col("ci") - F.col("o.di")).alias("pi"), (F.col("cj") - F.col("o.dj")).alias("pj"), "o.ring")
+    n = n.withColumn("first", F.min("ring").over(Window.partitionBy("pi", "pj"))).where("ring = first").drop("first")
+    path = folder(spark, "near")
+    n.write.parquet(path)
+    near = spark.read.schema(n.schema).parquet(path)
+    p = points.select("point_id", "lat", "lon", cell("lat").alias("pi"), cell("lon").alias("pj"))
+    few = near.limit(FEW_NEAR + 1).count() <= FEW_NEAR
+    met = p.join(F.broadcast(near), ["pi", "pj"]) if few else p.hint("merge").join(near.hint("merge"), ["pi", "pj"])
     d = haversine(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon"), 6_371_088.0)
-    best = p.join(n, ["ci", "cj"]).withColumn("distance_m", d).groupBy("point_id").agg(F.min_by(F.struct("node", "distance_m"), F.struct("ring", "distance_m", "node")).alias("b"))
+    best = met.withColumn("distance_m", d).groupBy("point_id").agg(F.min_by(F.struct("node", "distance_m"), F.struct("ring", "distance_m", "node")).alias("b"))
     return best.select("point_id", "b.node", "b.distance_m")
 
 

@@ -353,6 +353,23 @@ def test_snapped_against_a_loop(spark):
         assert got.get(i) == (rings[0][2] if rings[0][0] <= 3 else None)
 
 
+@pytest.mark.parametrize("few", (algorithms.FEW_NEAR, 0))
+def test_snapped_points_stay_one_row(spark, monkeypatch, few):
+    """Points are neither repeated by cell nor broadcast, however small their files look; a repeated point has one row."""
+    monkeypatch.setattr(algorithms, "FEW_NEAR", few)
+    nodes = spark.createDataFrame(algorithms.grid_graph(6)[0], "node int, lat double, lon double")
+    points = spark.range(2000).selectExpr("id % 1990 as point_id", "13.0 + (id % 1990 % 41) / 2000 as lat", "80.0 + (id % 1990 % 37) / 2000 as lon")
+    df = algorithms.snapped(points, nodes)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and ("BroadcastHashJoin" if few else "SortMergeJoin") in plan and ("BuildLeft" not in plan)
+    got = {r.point_id: r.node for r in df.collect()}
+    assert len(got) == df.count() == 1990
+    for i in (0, 40, 1989):
+        lat, lon = 13.0 + i % 41 / 2000, 80.0 + i % 37 / 2000
+        deg = 500.0 / 111_000.0
+        assert got[i] == min((max(abs(int(a / deg) - int(lat / deg)), abs(int(b / deg) - int(lon / deg))), (a - lat) ** 2 + (b - lon) ** 2 * math.cos(math.radians(13)) ** 2, n) for n, a, b in algorithms.grid_graph(6)[0])[2]
+
+
 def test_tokens_and_names(spark):
     from motorcade.functions import access
 
