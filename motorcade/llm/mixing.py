@@ -3,10 +3,12 @@
 A classifier fitted on the labelled table predicts a document's domain posteriors: naive Bayes over binned text
 measures (words, lines, capitals, digits, symbols, marks). A document's tokens (words) times its posteriors are its
 expected tokens by domain. Projected-gradient least squares then fits one rate per document, at least `least`, whose
-expected domain totals match the targets: x <- max(least, x - A'H(Ax - t)), where H, the inverse of AA', makes one the
-right step size. Each step sends the driver one total per domain; rates stay distributed, and a document's follows from its
-own posteriors and the steps. Steps go on until totals
-meet the targets or stand still; what is missed then, which rates that may not fall can't mend, is a result.
+expected domain totals match the targets: x <- max(least, x - A'M(Ax - t)). The first M is H, the inverse of AA', which makes
+one the right step size while no rate is bounded. As rates reach their bound that step gets too short, so M then comes from
+the rows still free, F: the inverse of FF' + d AA', with a damping d that falls as long as steps bring totals nearer, in the
+norm of H, and rises otherwise; a step that brings them no nearer isn't taken. Each step sends the driver one total per domain and one per pair
+of domains; rates stay distributed, and a document's follows from its own posteriors and the steps. Steps go on until totals
+meet the targets or plain steps hardly bring them nearer; what is missed then, which bounded rates or posteriors too alike can't mend, is a result.
 
 Domains are the labelled table's classes, quality and toxicity together (q1t0 and so on).
 
@@ -33,8 +35,12 @@ BINS = 16
 SMOOTH = 1.0
 #: Targets are the domains' own shares to this power, so that rare domains gain.
 TEMPER = 0.8
-#: Totals count as met within this share of the greatest target, and as standing still when a step moves them by less than a tenth of it.
+#: Totals count as met within this share of the greatest target.
 TOLERANCE = 1e-3
+#: A step is good if it takes this share off the distance; where even a plain step takes less than the second share, totals stand still.
+GOOD, STILL = 1e-2, 1e-3
+#: Bounds of the damping: at 1 a step is plain.
+DAMPING = 1e-3, 1.0
 #: Steps held in one plan before rates are written out.
 CHAIN = 8
 
@@ -120,27 +126,56 @@ def mix(
     weight /= weight.sum()
     scale = max(o / w for o, w in zip(own, weight, strict=True) if w > 0) if grow else own.sum()
     goal = weight * scale
-    metric = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(len(names)))
-    now, moves, steps = own * start, [], []
-    rate = F.col("rate")
-    while np.abs(now - goal).max() > TOLERANCE * goal.max():
-        push = metric @ (now - goal)
+    rate, moves, tried = F.col("rate"), 0, None
+
+    def totals(push: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Totals after one step more, and the products of the rows that it leaves free."""
+        nonlocal tried
         change = sum((x * F.lit(float(v)) for x, v in zip(expected, push, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(float(least)), rate - change)
-        moves.append(push)
-        steps.append(push)
-        if len(moves) == CHAIN:
+        tried = F.greatest(F.lit(float(least)), rate - change)
+        moved = table.select("n_tokens", "p", "times", tried.alias("rate"))
+        above = F.when(F.col("rate") > float(least), times).otherwise(0)
+        got = moved.agg(*[F.sum(times * x * F.col("rate")).alias(f"s{i}") for i, x in enumerate(expected)], *[F.sum(above * expected[i] * expected[j]).alias(f"g{i}_{j}") for i in k for j in k if i <= j]).first()
+        return np.array([got[f"s{i}"] or 0.0 for i in k]), np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in k] for i in k])
+
+    def take() -> None:
+        nonlocal table, rate, moves
+        rate, moves = tried, moves + 1
+        if moves % CHAIN == 0:
             new = written(table.withColumn("rate", rate), "rates")
             dropped(table)
-            table, rate, moves = new, F.col("rate"), []
-        got = table.select("n_tokens", "p", "times", rate.alias("rate")).agg(*[F.sum(times * x * F.col("rate")).alias(f"s{i}") for i, x in enumerate(expected)]).first()
-        before, now = now, np.array([got[f"s{i}"] or 0.0 for i in k])
-        if np.abs(now - before).max() <= 0.1 * TOLERANCE * goal.max():  # bounded rates can't come nearer
-            break
+            table, rate = new, F.col("rate")
+
+    steps, now = stepped(own * start, goal, gram, gram if start > least else 0 * gram, totals, take)
     dropped(table)
     return named(steps, float(np.abs(now - goal).max() / goal.max()))
 
 
+def stepped(now: np.ndarray, goal: np.ndarray, gram: np.ndarray, free: np.ndarray, totals, take) -> tuple[list[np.ndarray], np.ndarray]:
+    """The steps from the totals `now` towards `goal`, and the totals they lead to. totals(push) tries a step, take() keeps it;
+    gram and free are the products AA' of all rows and of those above their bound."""
+    gram = gram + 1e-9 * np.trace(gram) * np.eye(len(goal))
+    metric, steps, damp = np.linalg.inv(gram), [], DAMPING[1]
+    far = lambda t: math.sqrt(max(0.0, (t - goal) @ metric @ (t - goal)))
+    while np.abs(now - goal).max() > TOLERANCE * goal.max():
+        push = (metric if damp >= DAMPING[1] else np.linalg.inv(free + damp * gram)) @ (now - goal)
+        then, left = totals(push)
+        gain = 1 - far(then) / far(now)
+        if gain > 0:
+            take()
+            steps.append(push)
+            now, free = then, left
+        if gain > GOOD:
+            damp = max(DAMPING[0], damp / 4)
+        elif damp < DAMPING[1]:
+            damp = min(DAMPING[1], damp * 8)
+        elif not gain >= STILL:
+            break
+        else:
+            damp /= 4
+    return steps, now
+
+
 def copies(id_col: str = "doc_id") -> Column:
     """Whole copies for a rate: its floor, and one more with the probability of the rest, drawn by the id's hash."""
     u = F.pmod(F.xxhash64(F.lit("mix"), id_col), F.lit(1 << 20)) / (1 << 20)

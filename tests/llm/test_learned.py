@@ -312,6 +312,62 @@ def test_mixing_rates_are_the_projected_optimum(spark):
     assert got.missed[0] == pytest.approx(np.abs(a @ got.rate.to_numpy() - want).max() / want.max(), abs=1e-6)
 
 
+@pytest.mark.parametrize("least", (0.0, 1.0))
+@pytest.mark.parametrize("spread", (0.1, 0.3, 1.0))
+def test_mixing_steps_are_few_where_plain_ones_are_many(least, spread):
+    """Posteriors so alike that targets are hard or impossible to meet: few passes, and no farther from the targets than
+    a thousand plain steps."""
+    rng, n = np.random.default_rng(0), 2000
+    logs = np.log(rng.dirichlet(np.ones(4)))[:, None] + spread * rng.standard_normal((4, 3)) @ rng.standard_normal((3, n))
+    a = np.exp(logs) / np.exp(logs).sum(0) * (np.floor(np.exp(rng.normal(5, 1.2, n))) + 1)
+    own, gram = a.sum(1), a @ a.T
+    goal = own**mixing.TEMPER / (own**mixing.TEMPER).sum()
+    goal *= own.sum() if not least else (own / goal).max()
+    h = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(4))
+    far = lambda t: np.sqrt((t - goal) @ h @ (t - goal))
+    x = y = np.ones(n)
+    for _ in range(1000):
+        x = np.maximum(least, x - a.T @ (h @ (a @ x - goal)))
+    passes, tried = 0, None
+
+    def totals(push):
+        nonlocal passes, tried
+        passes, tried = passes + 1, np.maximum(least, y - a.T @ push)
+        return a @ tried, (a * (tried > least)) @ a.T
+
+    def take():
+        nonlocal y
+        y = tried
+
+    steps, now = mixing.stepped(own, goal, gram, gram if not least else 0 * gram, totals, take)
+    assert passes <= 80 and np.allclose(now, a @ y) and y.min() >= least
+    assert np.abs(now - goal).max() <= mixing.TOLERANCE * goal.max() or far(now) <= 1.05 * far(a @ x)
+    z = np.ones(n)
+    for push in steps:
+        z = np.maximum(least, z - a.T @ push)
+    assert np.allclose(z, y)
+
+
+def test_mixing_ends_when_labels_tell_nothing(spark, monkeypatch):
+    """Labels that have nothing to do with the texts: targets stay out of reach and rates are still written only a few times."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    labels = docs.selectExpr("doc_id", "int(pmod(xxhash64(doc_id), 3) = 0) as quality", "int(pmod(xxhash64(doc_id, 1), 9) = 0) as toxic")
+    made, write = [], mixing.written
+
+    def counted(df, what):
+        made.append(what)
+        assert made.count("rates") <= 10
+        return write(df, what)
+
+    monkeypatch.setattr(mixing, "written", counted)
+    got = mixing.mix(docs, labels).toPandas()
+    names = list(got.posteriors[0])
+    a = np.array([[p[n] for n in names] for p in got.posteriors]).T * got.n_tokens.to_numpy()
+    want = a.sum(1) ** mixing.TEMPER
+    want *= a.sum() / want.sum()
+    assert got.missed[0] == pytest.approx(np.abs(a @ got.rate.to_numpy() - want).max() / want.max(), abs=1e-6)
+
+
 def test_mixing_posteriors_are_naive_bayes(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (8, 0, 1), (7, 1, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
     rows = mixing.measured(odd, "doc_id", "text").collect()
