@@ -360,10 +360,11 @@ def test_mixing_ends_when_labels_tell_nothing(spark, monkeypatch):
         return write(df, what)
 
     monkeypatch.setattr(mixing, "written", counted)
-    got = mixing.mix(docs, labels).toPandas()
+    targets = {"q0t0": 0.02, "q0t1": 0.9, "q1t0": 0.02, "q1t1": 0.06}
+    got = mixing.mix(docs, labels, targets=targets).toPandas()
     names = list(got.posteriors[0])
     a = np.array([[p[n] for n in names] for p in got.posteriors]).T * got.n_tokens.to_numpy()
-    want = a.sum(1) ** mixing.TEMPER
+    want = np.array([targets[n] for n in names])
     want *= a.sum() / want.sum()
     assert got.missed[0] == pytest.approx(np.abs(a @ got.rate.to_numpy() - want).max() / want.max(), abs=1e-6)
 
