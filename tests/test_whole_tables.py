@@ -96,3 +96,17 @@ def test_point_on_a_fence(spark):
     ring = spark.createDataFrame([(1, [{"lat": a, "lon": b} for a, b in scalars.RING])], "fence_id int, ring array<struct<lat:double,lon:double>>")
     rows = spark.createDataFrame([(i, 13_051_450, 80_285_749 + i) for i in range(3)], "event_id int, lat_e6 int, lon_e6 int")
     assert sorted(r.event_id for r in geofence.inside_polygons(rows, ring).collect()) == [2]
+
+
+def test_fences_at_every_edge(spark, tmp_path):
+    """Both polygon queries against their SQL at all places telemetry can have (remainders of keys, k under 100) that lie on an edge's line or within 10 millionths of a degree of it."""
+    c = duckdb.connect()
+    slope = "abs(3 * (lon - 80250000) {} 5 * (lat - 13030000)) <= 30"
+    near = f"{slope.format('-')} or {slope.format('+')} or lat in (13000000, 13060000) or abs(lon - 80200000) <= 10 or abs(lon - 80300000) <= 10"
+    places = "select u, k, 13000000 + u % 97 * 1000 + k * 45 as lat, 80200000 + u % 89 * 1200 + k * 55 as lon from range(97 * 89) a(u), range(100) b(k)"
+    rows = f"select row_number() over (order by u, k) as event_id, timestamp '2024-01-01' as ts, u as user_id, 'view' as event_type, 1.0::double as value, '{{\"k\": ' || k || '}}' as props from ({places}) where {near}"
+    c.execute(f"copy ({rows}) to '{tmp_path}/events.parquet'")
+    c.execute(f"create view events as from '{tmp_path}/events.parquet'")
+    for name, most in (("j_geofence_polygon", "fence_id"), ("geo_point_in_polygon", "inside")):
+        want = ordered(c.execute(f"select event_id, {most} from ({ORACLE[name]})").fetchall())
+        assert want and ordered((r.event_id, r[most]) for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
